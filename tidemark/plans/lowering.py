@@ -281,6 +281,8 @@ class SelectLowering:
                 return at.get(e)
             if e in whole:
                 return whole[e]
+            if isinstance(e, A.Name) and e.qualifier is None and not self.scope.find(e) and (x := bare(aliases.get(e.name.lower(), e))) in whole:
+                return whole[x]
             if isinstance(e, A.Name):
                 found = cols.get(str(self.scope.resolve(e)[0]))
                 if found is None:

@@ -147,7 +147,7 @@ def _logged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kv() -> dict[str, Callable]:
-    newest = F.col("file_id")
+    newest = "file_id"
     return {
         "kv_latest": lambda s, d: _plain(kv.latest(_log(s, d), newest)),
         "kv_get": lambda s, d: _plain(kv.live(_log(s, d).where(F.col("key") == 7), newest)),

@@ -38,13 +38,13 @@ def check_key(key: bytes) -> None:
 # -- DataFrame operators
 
 
-def latest(log: DataFrame, order: Column, key: str = "key", value: str = "value", op: str = "op") -> DataFrame:
+def latest(log: DataFrame, order: Column | str, key: str = "key", value: str = "value", op: str = "op") -> DataFrame:
     """One row per key, its last record by order, deletes included. Partial aggregation keeps hot keys cheap."""
     last = log.groupBy(key).agg(F.max_by(F.struct(value, op), order).alias("x"))
     return last.select(key, f"x.{value}", f"x.{op}")
 
 
-def live(log: DataFrame, order: Column, **names: str) -> DataFrame:
+def live(log: DataFrame, order: Column | str, **names: str) -> DataFrame:
     out = latest(log, order, **names)
     return out.where(F.col(names.get("op", "op")) == PUT)
 
