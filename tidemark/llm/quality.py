@@ -56,14 +56,25 @@ def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, chunks
 
 
-def pooled(net: Network, flat: np.ndarray) -> np.ndarray:
+def _windows(net: Network, x: np.ndarray, c: int, d: int, last: np.ndarray) -> np.ndarray:
+    """Filter scores of the windows of chunks c to d, by chunk; x: their embedded blocks and one more.
+
+    A text's last window has zeros for its second half, not the next text's bytes.
+    """
+    z = (x[:-1] @ net.head + x[1:] @ net.tail).reshape(d - c, PER_CHUNK, FILTERS)
+    ends = last[(last >= c) & (last < d)] - c
+    z[ends, -1] = x[ends * PER_CHUNK + PER_CHUNK - 1] @ net.head + np.tile(net.embed[0], BLOCK) @ net.tail
+    return z
+
+
+def pooled(net: Network, flat: np.ndarray, chunks: np.ndarray) -> np.ndarray:
     """Max-pooled filter scores of every chunk."""
-    total = (len(flat) - BLOCK) // CHUNK
+    total, last = int(chunks.sum()), np.cumsum(chunks) - 1
     out = np.empty((total, FILTERS), np.float32)
     for c in range(0, total, SLAB):
         d = min(total, c + SLAB)
         x = net.embed[flat[c * CHUNK : d * CHUNK + BLOCK]].reshape(-1, BLOCK * EMBED)
-        (x[:-1] @ net.head + x[1:] @ net.tail).reshape(d - c, PER_CHUNK, FILTERS).max(1, out=out[c:d])
+        _windows(net, x, c, d, last).max(1, out=out[c:d])
     return out
 
 
@@ -79,7 +90,7 @@ def score_texts(net: Network, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     flat, chunks = lay_out(texts)
-    _, mean, top = features(net, pooled(net, flat), chunks)
+    _, mean, top = features(net, pooled(net, flat, chunks), chunks)
     z = np.concatenate([mean, top], 1).astype(np.float64) @ net.out.astype(np.float64) + net.base
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -102,7 +113,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
             batch = [texts[i] for i in rows]
             flat, chunks = lay_out(batch)
             total = int(chunks.sum())
-            scores, best, act_x = _forward(net, flat, total)
+            scores, best, act_x = _forward(net, flat, chunks)
             act, mean, top = features(net, scores, chunks)
             feat = np.concatenate([mean, top], 1)
             p = 1 / (1 + np.exp(-np.clip(feat @ net.out + net.base, -40, 40)))
@@ -113,10 +124,12 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
             share = is_top / np.maximum(1, np.add.reduceat(is_top.astype(np.float32), np.concatenate([[0], np.cumsum(chunks)[:-1]]), axis=0))[owner]
             g = ((d_mean / chunks[:, None])[owner] + d_top[owner] * share) * (act > 0)
             first = best + (np.arange(total) * PER_CHUNK)[:, None]  # the block each best window begins with
-            head_x, tail_x = act_x[first], act_x[first + 1]  # (chunks, FILTERS, BLOCK * EMBED)
+            then = first + 1
+            then[(best == PER_CHUNK - 1) & np.isin(np.arange(total), np.cumsum(chunks) - 1)[:, None]] = total * PER_CHUNK  # the zeros at the end
+            head_x, tail_x = act_x[first], act_x[then]  # (chunks, FILTERS, BLOCK * EMBED)
             d_head, d_tail = np.einsum("cfd,cf->df", head_x, g, optimize=True), np.einsum("cfd,cf->df", tail_x, g, optimize=True)
             d_embed = np.zeros_like(net.embed)
-            for blocks, w in ((first, net.head), (first + 1, net.tail)):
+            for blocks, w in ((first, net.head), (then, net.tail)):
                 d_x = (g[:, :, None] * w.T[None]).reshape(-1, BLOCK, EMBED)
                 ids = flat[(blocks.reshape(-1) * BLOCK)[:, None] + np.arange(BLOCK)]
                 for e in range(EMBED):
@@ -134,13 +147,14 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def _forward(net: Network, flat: np.ndarray, total: int):
+def _forward(net: Network, flat: np.ndarray, chunks: np.ndarray):
+    """Chunk scores, their best windows and all embedded blocks."""
     x = net.embed[flat].reshape(-1, BLOCK * EMBED)
+    total, last = int(chunks.sum()), np.cumsum(chunks) - 1
     scores, best = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.int64)
     for c in range(0, total, SLAB):
         d = min(total, c + SLAB)
-        part = x[c * PER_CHUNK : d * PER_CHUNK + 1]
-        z = (part[:-1] @ net.head + part[1:] @ net.tail).reshape(d - c, PER_CHUNK, FILTERS)
+        z = _windows(net, x[c * PER_CHUNK : d * PER_CHUNK + 1], c, d, last)
         best[c:d] = z.argmax(1)
         scores[c:d] = np.take_along_axis(z, best[c:d][:, None], 1)[:, 0]
     return scores, best, x

@@ -148,14 +148,14 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prints, component): doc_id, th, fp of every row; and fp, component_id of every fingerprint that has a link."""
+    """(prints, component): doc_id, th, fp of every row; and fp, label (smallest of its component), component_id of every fingerprint."""
     prints = materialize(fingerprints(docs), "fingerprints")
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     label = components(materialize(fingerprint_links(fps), "fingerprint-links"))
     mine = label.join(fps, label["node"] == fps["fp"])
     least = mine.groupBy("label").agg(F.min("least").alias("least"))
-    linked = mine.select("node", "label").join(least, "label").select(F.col("node").alias("fp"), F.col("least").alias("least"))
-    alone = fps.join(linked, "fp", "left_anti").select("fp", "least")
+    linked = mine.select("node", "label").join(least, "label").select(F.col("node").alias("fp"), "label", "least")
+    alone = fps.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("label"), "least")
     return prints, materialize(linked.union(alone).withColumnRenamed("least", "component_id"), "components")
 
 
@@ -172,9 +172,9 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id (of repeated ids, the smallest hash of text); columns as docs has them."""
     prints, component = groups(docs)
-    each = prints.join(component, "fp").groupBy("component_id", "doc_id", "th", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.count("*").alias("n"))
-    first = each.groupBy("component_id", "own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("th"))).alias("f"))
-    judged = each.join(first, each["component_id"].eqNullSafe(first["component_id"]) & each["own"].eqNullSafe(first["own"]))
+    each = prints.join(component, "fp").groupBy("label", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("th"))).alias("f"))
+    judged = each.join(first, "label")
     lead = each["doc_id"].eqNullSafe(F.col("f.doc_id")) & (each["th"] == F.col("f.th"))
     marked = materialize(judged.select(each["doc_id"].alias("__d"), each["th"].alias("__h"), lead.alias("__lead"), each["n"].alias("__n")).where(~F.col("__lead") | (F.col("__n") > 1)), "not-kept")
     joined = docs.join(small_side(marked, 40), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
