@@ -40,7 +40,7 @@ def tokens(docs: DataFrame) -> DataFrame:
             col_a, col_b, col_n, ends = [], [], [], [0]
             for t in b.column(3):
                 words = t.as_py().lower().split()
-                new = set(words) - known.keys()
+                new = {w for w in set(words) if w not in known}
                 if len(known) + len(new) > 500_000:
                     known, new = {}, set(words)
                 known.update((w, h(w) | 4) for w in new)  # 1 and 2 are taken
