@@ -25,7 +25,7 @@ from .common import materialize
 K, EVERY = 5, 50
 #: Tables, hash functions of each, bucket width and probes of a table: chosen for a recall of over 0.9 on vectors
 #: without any cluster structure, the hardest case.
-TABLES, M, WIDTH, PROBES, SEED = 12, 6, 1.2, 90, 5
+TABLES, M, WIDTH, PROBES, SEED = 12, 6, 1.2, 130, 5
 BLOCK = 512  # queries scored against a bucket at once
 
 
