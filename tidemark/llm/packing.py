@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 LIMIT, END = 1024, 2
-#: Rows that one ranking task takes at most, about.
+#: Rows that are ranked together at most, about.
 RANK_ROWS = 200_000
 #: Donor bins that the local search tries to empty, at most.
 ROUNDS = 3000
@@ -229,14 +229,18 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most limit rows
     bins = local_search(best_fit(counts, limit), limit)
     table = slots(bins)
-    salts = max(1, -(-max(counts.values(), default=1) // RANK_ROWS))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # groups of a length are ranked apart, each well under a task's share of the rows, however frequent the length is
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(RANK_ROWS, max(1, sum(counts.values()) // (4 * parts)))
+    salts = [max(1, -(-counts.get(k, 0) // most)) for k in range(limit + 1)]
+    of_length = F.get(F.expr(f"array({', '.join(map(str, salts))})"), F.col("length").cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), of_length))
     # ranks of a length: offsets of its salts, then places within a salt
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("length", "salt", before.alias("before"))
     place = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("place", place).join(F.broadcast(sizes) if salts * limit <= 1 << 18 else sizes, ["length", "salt"]).withColumn("rank", F.col("place") - 1 + F.col("before")).drop("salt", "place", "before")
+    ranked = salted.withColumn("place", place).join(F.broadcast(sizes) if sum(salts) <= 1 << 18 else sizes, ["length", "salt"]).withColumn("rank", F.col("place") - 1 + F.col("before")).drop("salt", "place", "before")
     names = cut.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
