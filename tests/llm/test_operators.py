@@ -363,6 +363,15 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("menu", ["", "<nav><ul>" + "<li><a href='/x'>some menu entry</a></li>" * 12 + "</ul></nav>"])
+def test_html_density_decides(menu):
+    page = f"<body>{menu}<div class=xq>Buy now</div><div>{'<p>' + 'word ' * 50 + '</p>'}{'<p>' + 'more ' * 50 + '</p>'}</div></body>"
+    root = html.parse(page)
+    html.measure(root)
+    assert root.density > 0 and root.peak is not root and root.peak.chars == 400
+    assert html.extract(page) == "\n".join([("word " * 50).strip(), ("more " * 50).strip()])
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>a</p></article>", 5), (1, "u", "<article><p>a</p></article>", 5), (None, None, None, 5)]
     out = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

@@ -29,18 +29,24 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "block")
+    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "block", "noise", "peak")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.block = tag in BLOCK
+        self.noise = False
+        self.peak = self
 
 
-def parse(html: str) -> Node:
-    """A tree of nodes and strings; skipped subtrees and markup are left out. Unclosed tags end with their parents."""
-    root = node = Node("html", None)
+def parse(html: str, tag: str = "html", noise: bool = False) -> Node:
+    """A tree of nodes and strings; unclosed tags end with their parents. Raw elements and the head are left out.
+
+    Menus, notices and the like are measured as the rest, so they are in the tree, marked as noise.
+    """
+    root = node = Node(tag, None)
+    root.noise = noise
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -71,8 +77,13 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        if tag in SKIP or (_noise(m[3]) and tag not in ("article", "main", "html", "body")):
-            at = _subtree_end(html, tag, at)
+        if not noise and (tag in SKIP or (_noise(m[3]) and tag not in ("article", "main", "html", "body"))):
+            end = _subtree_end(html, tag, at)
+            if tag != "head":
+                child = parse(html[at:end], tag, noise=True)
+                child.parent = node
+                node.children.append(child)
+            at = end
             continue
         if tag in BLOCK:  # a block ends an open paragraph and the inline elements in it
             up = node
@@ -110,8 +121,14 @@ def _subtree_end(html: str, tag: str, at: int) -> int:
     return m.start() if m else len(html)
 
 
+def _strength(weight: float, ratio: float, base: float) -> float:
+    """weight * log of ratio to the base log(base); a page without links has base e, so the natural logarithm."""
+    below = math.log(math.log(base))
+    return weight * math.log(max(ratio, 1.0)) / (below if below > 0 else 1.0)
+
+
 def measure(root: Node) -> None:
-    """Composite density of each node, and the sum of its children's."""
+    """Composite density of each node, the sum of its children's and its own texts', and the largest sum below it."""
     order, todo = [], [(root, False)]
     while todo:
         node, link = todo.pop()
@@ -130,48 +147,59 @@ def measure(root: Node) -> None:
                 node.chars += k
                 node.link_chars += k if inside else 0
     share = root.link_chars / root.chars if root.chars else 0.0
-    for node, _ in reversed(order):
+    for node, inside in reversed(order):
         c, lc = node.chars, node.link_chars
         if c:
-            base = math.log(c * lc / max(1, c - lc) + share * c + math.e)
             ratio = (c / max(1, lc)) * (max(1, node.tags) / max(1, node.link_tags))
-            node.density = c / max(1, node.tags) * math.log(max(ratio, 1.0)) / math.log(base) if base > 1 else 0.0
-        node.total = sum(k.density for k in node.children if isinstance(k, Node))
+            node.density = _strength(c / max(1, node.tags), ratio, c * lc / max(1, c - lc) + share * c + math.e)
+        below = [k for k in node.children if isinstance(k, Node)]
+        node.total = sum(k.density for k in below) if below else node.density
+        for k in node.children if below and not inside else ():
+            if isinstance(k, str) and (n := len(_SPACE.sub("", k))):
+                node.total += _strength(n, n, share * n + math.e)
+        for k in below:  # a node before its descendants where sums are equal
+            if not k.noise and k.peak.total > node.peak.total:
+                node.peak = k.peak
 
 
-def _main_node(root: Node) -> tuple[Node, float]:
-    """The node of the largest sum of child densities, and the least density on the path to it."""
-    best, todo = root, [root]
-    while todo:
-        node = todo.pop()
-        if node.total > best.total:
-            best = node
-        todo.extend(c for c in node.children if isinstance(c, Node))
-    path, node = [], best
+def _contents(root: Node) -> tuple[set[Node], float]:
+    """The nodes whose whole subtrees are content, and the threshold, the least density between body and root.peak.
+
+    The subtree of the largest sum is content.
+    """
+    threshold, node = root.density, root.peak
     while node is not None:
-        path.append(node.density)
+        threshold = min(threshold, node.density)
         node = node.parent
-    return best, min(path)
+    found = {root.peak}
+    return found, threshold
 
 
 def extract(html: str | None) -> str:
     """The main text: blocks in page order, one a line; empty if there is none.
 
-    The subtree of the largest sum of child densities is taken. Where that is a part of an article, main or body
-    element, the outermost of these is taken instead, without the children that are mostly links and less dense than
-    the threshold, the least density on the path from the body.
+    Densities are those of the whole page, with links and menus; noise is left out of the text only. Where the subtree
+    of the largest sum is a part of an article or main element, the outermost of these is the content, else that
+    subtree, with the texts directly in the nodes around it. Inside, blocks that are mostly links and less dense than
+    the threshold are left out.
     """
     if not html:
         return ""
     root = parse(html)
     measure(root)
-    best, threshold = _main_node(root)
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
+    tops, threshold = _contents(root)
+    whole, node = None, root.peak
+    while node is not None:
+        if node.tag in ("article", "main"):
+            whole = node
         node = node.parent
-    top = node
-    if top is None:
-        top = best if best.block and best.chars * 2 >= root.chars else root
+    top = root if whole is None else whole
+    if whole is not None:
+        tops = {whole}
+    around: set[Node] = set()
+    for node in tops:
+        while (node := node.parent) is not None and node not in around:
+            around.add(node)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -181,20 +209,23 @@ def extract(html: str | None) -> str:
             blocks.append(text)
         line.clear()
 
-    todo: list = [top]
+    todo: list = [(top, False)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif x is not top and x.block and x.chars and x.link_chars > 0.5 * x.chars and x.density < threshold:
+        elif x.noise or not (inside or x in tops or x in around):
+            flush()
+        elif inside and x.block and x.chars and x.link_chars > 0.5 * x.chars and x.density < threshold:
             flush()
         else:
             if x.block:
                 flush()
-                todo.append(None)
-            todo.extend(reversed(x.children))
+                todo.append((None, False))
+            inside = inside or x in tops
+            todo.extend((c, inside) for c in reversed(x.children))
     flush()
     return "\n".join(blocks)
 
