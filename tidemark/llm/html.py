@@ -165,13 +165,18 @@ def measure(root: Node) -> None:
 def _contents(root: Node) -> tuple[set[Node], float]:
     """The nodes whose whole subtrees are content, and the threshold, the least density between body and root.peak.
 
-    The subtree of the largest sum is content.
+    Of each node that reaches the threshold, in parents that do, the subtree of the largest sum is content.
     """
     threshold, node = root.density, root.peak
     while node is not None:
         threshold = min(threshold, node.density)
         node = node.parent
-    found = {root.peak}
+    found, todo = {root.peak}, [root]
+    while todo:
+        node = todo.pop()
+        if node.chars and node.density >= threshold and node not in found:
+            found.add(node.peak)
+            todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
     return found, threshold
 
 
@@ -179,9 +184,9 @@ def extract(html: str | None) -> str:
     """The main text: blocks in page order, one a line; empty if there is none.
 
     Densities are those of the whole page, with links and menus; noise is left out of the text only. Where the subtree
-    of the largest sum is a part of an article or main element, the outermost of these is the content, else that
-    subtree, with the texts directly in the nodes around it. Inside, blocks that are mostly links and less dense than
-    the threshold are left out.
+    of the largest sum is a part of an article or main element, the outermost of these is the content, else all
+    subtrees that the threshold selects, with the texts directly in the nodes around them. Inside, blocks that are
+    mostly links and less dense than the threshold are left out.
     """
     if not html:
         return ""
