@@ -161,6 +161,13 @@ def test_lines(docs):
     assert lines.dedup(docs).columns == docs.columns
 
 
+def test_short_lines_are_repeats_too(spark):
+    rows = [(1, "Les.\nto be\n\n \nonetwothree" + "x" * 300), (2, "\nLes.\nto bee\n \nonetwothree" + "x" * 300 + "\na\tb\tc d"), (3, "Les.\nto be\na\tb\tc d")]
+    out = lines.digest(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["text"] for x in out] == [rows[0][1], "\nto bee\n \na\tb\tc d", ""]
+    assert [(x["n_lines"], x["n_repeated"], x["n_near"]) for x in out] == [(5, 0, 0), (6, 2, 0), (3, 3, 0)]
+
+
 def test_licenses(docs):
     by = Counter()
     for i, t in pairs(docs):

@@ -3,7 +3,8 @@
 The unit of an edit is a word (lines split at single spaces). Two lines of at least MIN_WORDS words are near if one
 word inserted, deleted or replaced makes them equal: one edit in five words is a similarity of 0.8. A line occurrence
 goes if the same line, or a line near to it, occurs earlier in the corpus; earlier is by (doc_id, hash of the
-document's text, line number), null ids first. So the earliest of each stays. Lines of fewer words always stay.
+document's text, line number), null ids first. So the earliest of each stays. Lines of fewer words go only as exact
+repeats; blank lines (white space alone) are no content and always stay.
 
 Near lines agree exactly in their first or in their last half, so a line emits deletion variants only if it shares a
 half with another line, and only for places in the other half: nothing near is lost. Equal variants are grouped, never
@@ -40,19 +41,19 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, drop: array of struct(pos, near)) of the documents that lose lines."""
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    each = each.select("*", n.cast("int").alias("n")).where(F.col("n") >= min_words)
+    each = each.select("*", n.cast("int").alias("n")).where(F.col("line").rlike(r"\S"))
     m = [F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")]
     halves = [F.xxhash64(F.lit(k), m[j], F.call_function("substring_index", F.col("line"), F.lit(" "), -m[j] if k else m[j])).alias(f"h{k}{j}") for k in (0, 1) for j in (0, 1)]
     lines = materialize(each.select("doc_id", "th", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), "n", *halves), "lines")
 
     place, names = F.struct("doc_id", "th", "pos"), ["h00", "h01", "h10", "h11"]
-    distinct = materialize(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c"), *[F.max(h).alias(h) for h in names]), "distinct-lines")
-    keys = distinct.select("a", "b", F.inline(F.array_distinct(F.array(*[F.struct(F.lit(h[1]).alias("kind"), F.col(h).alias("k")) for h in names]))))
+    distinct = materialize(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.max("n").alias("n"), *[F.max(h).alias(h) for h in names]), "distinct-lines")
+    keys = distinct.where(F.col("n") >= min_words).select("a", "b", F.inline(F.array_distinct(F.array(*[F.struct(F.lit(h[1]).alias("kind"), F.col(h).alias("k")) for h in names]))))
     shared = keys.groupBy("kind", "k").agg(F.count("*").alias("c")).where("c > 1").select("kind", "k")
     halved = materialize(keys.join(shared, ["kind", "k"], "left_semi").groupBy("a", "b").agg(F.max(F.col("kind") == "0").alias("pre"), F.max(F.col("kind") == "1").alias("suf")), "halved-lines")
 
     # the words of the lines that share a half, taken from the document where each occurs first
-    wanted = distinct.join(small_side(halved, 40), ["a", "b"]).select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"), F.struct("a", "b", "pre", "suf", "first").alias("x")).groupBy("d", "h").agg(F.collect_list("x").alias("xs"))
+    wanted = distinct.drop("n").join(small_side(halved, 40), ["a", "b"]).select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"), F.struct("a", "b", "pre", "suf", "first").alias("x")).groupBy("d", "h").agg(F.collect_list("x").alias("xs"))
     wanted = F.broadcast(wanted) if halved.count() * 100 <= BROADCAST_BYTES else wanted
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     got = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["h"])).withColumn("ls", F.split("text", "\n"))
