@@ -347,6 +347,15 @@ def test_local_search_empties_bins():
     assert all(sum(b) <= 10 for b in after)
 
 
+def test_local_search_serves_all_bins():
+    n = 10_000
+    bins = Counter({(6, 3): 2 * n, (5, 1): n, (4,): n, (2, 2): n})
+    after = packing.local_search(bins, 10)
+    assert sum(after.values()) <= 4 * n and all(sum(b) <= 10 and k > 0 for b, k in after.items())
+    items = lambda bins: sum((Counter({x: k * b.count(x) for x in set(b)}) for b, k in bins.items()), Counter())
+    assert items(after) == items(bins)
+
+
 def test_encoder_has_the_tokenizers_ids():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -12,7 +12,8 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from heapq import heappop, heappush
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,6 @@ from .common import materialize, small_batches
 LIMIT, END = 1024, 2
 #: Rows that are ranked together at most, about.
 RANK_ROWS = 200_000
-#: Donor bins that the local search tries to empty, at most.
-ROUNDS = 3000
 CACHED_WORDS = 300_000
 
 
@@ -153,21 +152,44 @@ def best_fit(counts: dict[int, int], limit: int) -> Counter:
     return done
 
 
-def local_search(bins: Counter, limit: int, rounds: int = ROUNDS) -> Counter:
+def local_search(bins: Counter, limit: int) -> Counter:
     """Empty bins by moves and swaps with other underfull bins, each of which increases the sum of squared fills.
 
     The emptiest bin gives: an item moves to where it fits best, or is exchanged for one or for two smaller items, or
-    two of its items for one. A bin that can give nothing more rests. Ends at the lower bound or when all rest.
+    two of its items for one. All bins of its contents do so at once, as far as there are takers. A bin that can give
+    nothing more rests until takers of new contents come up. Ends at the lower bound or when all rest; as the sum of
+    squares grows with each exchange, it does end.
     """
     bins = Counter(bins)
-    total = sum(sum(b) * n for b, n in bins.items())
+    total, count = sum(sum(b) * n for b, n in bins.items()), sum(bins.values())
     least = -(-total // limit)
-    resting: set[tuple] = set()
-
-    def take(b: tuple) -> None:
-        bins[b] -= 1
+    born: dict[tuple, int] = {}  # underfull contents, the oldest first: number of their arrival
+    tried: dict[tuple, int] = {}  # arrivals that a giver has seen without use
+    waiting: list[tuple[int, tuple]] = []  # a heap of givers
+    rested: set[tuple] = set()
+    clock = 0
+
+    def add(b: tuple, n: int) -> None:
+        nonlocal clock
+        before = bins[b]
+        bins[b] += n
+        if sum(b) < limit and (not before or before == 1):  # a second one can take from the first
+            clock += 1
+            born.pop(b, None)
+            born[b] = clock
+            if not before:
+                tried.pop(b, None)
+                rested.discard(b)
+                heappush(waiting, (sum(b), b))
+            while rested:
+                r = rested.pop()
+                heappush(waiting, (sum(r), r))
+
+    def take(b: tuple, n: int) -> None:
+        bins[b] -= n
         if not bins[b]:
-            del bins[b]
+            del bins[b], born[b]
+            rested.discard(b)
 
     def swap(b: tuple, out: tuple, into: tuple) -> tuple:
         left = list(b)
@@ -175,37 +197,47 @@ def local_search(bins: Counter, limit: int, rounds: int = ROUNDS) -> Counter:
             left.remove(x)
         return tuple(sorted([*left, *into], reverse=True))
 
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
-        under = [b for b in bins if sum(b) < limit]
-        givers = [b for b in under if b not in resting]
-        if not givers:
-            break
-        giver = min(givers, key=lambda b: (sum(b), b))
-        takers = [b for b in under if b != giver or bins[b] > 1]
+    start = bins
+    bins = Counter()
+    for b, n in start.items():
+        add(b, n)
+    while count > least and waiting:
+        low, giver = heappop(waiting)
+        if giver not in born or giver in rested:
+            continue
         best = None  # (gain, fill after, taker, given, returned)
         gives = [(x,) for x in set(giver)] + list({*combinations(giver, 2)})
-        for taker in takers:
-            free, fill = limit - sum(taker), sum(taker)
+        since = tried.get(giver, 0)
+        for taker in reversed(born):
+            if born[taker] <= since:
+                break
+            if taker == giver and bins[giver] < 2:
+                continue
+            fill = sum(taker)
+            free = limit - fill
+            ones = [(x,) for x in set(taker)]
+            twos = list({*combinations(taker, 2)})
             for given in gives:
-                back = [()] if len(given) == 1 else []
-                back += [(x,) for x in set(taker)] + (list({*combinations(taker, 2)}) if len(given) == 1 else [])
-                for returned in back:
+                for returned in chain(ones, twos, [()]) if len(given) == 1 else ones:
                     d = sum(given) - sum(returned)
-                    if 0 < d <= free and (gain := 2 * d * (fill - sum(giver) + d)) > 0 and (best is None or (gain, fill + d) > best[:2]):
+                    if 0 < d <= free and (gain := 2 * d * (fill - low + d)) > 0 and (best is None or (gain, fill + d) > best[:2]):
                         best = (gain, fill + d, taker, given, returned)
         if best is None:
-            resting.add(giver)
+            tried[giver] = clock
+            rested.add(giver)
             continue
         _, _, taker, given, returned = best
-        take(giver)
-        take(taker)
+        n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+        take(giver, n)
+        take(taker, n)
+        if giver in born:
+            heappush(waiting, (low, giver))
         rest = swap(giver, given, returned)
         if rest:
-            bins[rest] += 1
-        bins[swap(taker, returned, given)] += 1
-        resting.clear()
+            add(rest, n)
+        else:
+            count -= n
+        add(swap(taker, returned, given), n)
     return bins
 
 
