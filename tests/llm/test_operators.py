@@ -294,6 +294,14 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_count_different_ids_and_find_all(spark):
+    e = lambda j, w=1.0: [w if d == j else 0.0 for d in range(64)]
+    rows = [(50, e(0)), *[(3, e(0))] * 7, *[(6, [1.0, 0.001 * d, *[0.0] * 62]) for d in range(1, 9)], (4, e(0)), (5, e(0)), (9, e(0, -1.0)), (100, e(7))]
+    out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = {q: [(x["vec_id"], round(x["score"], 4)) for x in sorted(out, key=lambda x: x["rank"]) if x["query_id"] == q] for q in (50, 100)}
+    assert found == {50: [(3, 1.0), (4, 1.0), (5, 1.0), (6, 1.0), (100, 0.0)], 100: [(3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (9, 0.0)]}
+
+
 def test_decontaminate(spark, docs, texts):
     items = [(1, texts[30]), (2, texts[7][:200]), (2, texts[7][:200]), (3, "one"), (4, None), (5, ""), (None, texts[9]), (10, "two Three"), (11, texts[40])]
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, n_words int")

@@ -5,8 +5,9 @@ M floors of (projection + shift) / WIDTH on Gaussian directions. A query visits
 coordinate moved by -1, 0 or 1) in the order of their estimated success: the sum of squared distances to the walls that
 are crossed, smallest first. Candidates of all tables are scored exactly, in double precision, on the original vectors.
 
-Equal vectors are hashed once, with the smallest ids that can be among the nearest (K + 1): more can't come into a
-result, so a vector that a third of all rows hold costs one entry.
+Equal vectors are hashed once, with the smallest different ids that can be among the nearest (K + 1): more can't come
+into a result, so a vector that a third of all rows hold costs one entry. Queries for which the probes find fewer than
+K ids are scored against all vectors, in blocks of queries.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ K, EVERY = 5, 50
 #: without any cluster structure, the hardest case.
 TABLES, M, WIDTH, PROBES, SEED = 12, 6, 1.2, 130, 5
 BLOCK = 512  # queries scored against a bucket at once
+EXACT = 4096  # queries scored against all vectors in a pass, about
 
 
 def _hashes(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def _search(good: DataFrame, dim: int, k: int, every: int) -> DataFrame:
     # the k + 1 smallest ids of a vector: ranks within salted parts first, so that a hot vector is not one task's
     n_salts = 64
     part = W.partitionBy("v", F.pmod("vec_id", F.lit(n_salts))).orderBy("vec_id")
-    fewer = good.select("vec_id", "v").withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
+    fewer = good.select("vec_id", "v").distinct().withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
     least = fewer.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     distinct = materialize(least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "distinct-vectors")
     asked = materialize(good.where(F.col("vec_id") % every == 0).distinct().select(F.col("v"), F.array("vec_id").alias("ids")), "queries")
@@ -124,19 +126,7 @@ def _search(good: DataFrame, dim: int, k: int, every: int) -> DataFrame:
             if unit is None:
                 unit = np.stack(vec)
                 norms = np.linalg.norm(unit, axis=1)
-            s = (q @ unit.T) / (np.linalg.norm(q, axis=1)[:, None] * norms)
-            take = min(len(vec), k + 1)
-            top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(vec) else np.broadcast_to(np.arange(take), (len(q), take))
-            for i, query in enumerate(q_ids):
-                mine = found.setdefault(query, {})
-                # equals of the last score taken may be tied: all of them are looked at
-                cut = s[i, top[i]].min()
-                for j in np.flatnonzero(s[i] >= cut - 1e-12):
-                    for c in ids[j]:
-                        if c != query:
-                            mine[c] = max(s[i, j], mine.get(c, -2.0))
-                if len(mine) > 16 * (k + 1):
-                    found[query] = dict(sorted(mine.items(), key=lambda e: (-e[1], e[0]))[: 2 * (k + 1)])
+            _keep(found, q_ids, q, unit, norms, ids, k)
 
         waiting: tuple[list, list] = ([], [])
 
@@ -163,11 +153,70 @@ def _search(good: DataFrame, dim: int, k: int, every: int) -> DataFrame:
                     if len(waiting[0]) >= BLOCK:
                         flush()
         flush()
-        rows = [(q, c, v) for q, mine in found.items() for c, v in sorted(mine.items(), key=lambda e: (-e[1], e[0]))[: 2 * (k + 1)]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
+        yield _rows(found, k)
 
     placed = both.mapInArrow(place, "key long, kind int, ids array<long>, v array<double>")
     found = placed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(score, "query_id long, vec_id long, score double")
+    near = materialize(_ranked(found, k), "near")
+    few = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    asked = asked.select(F.col("ids")[0].alias("query_id"), "v")
+    lacking = materialize(asked.join(few, "query_id", "left_anti"), "lacking-queries")
+    n_passes = -(-lacking.count() // EXACT)
+    if not n_passes:
+        return near
+    out = near.join(few, "query_id", "left_semi")
+    for i in range(n_passes):
+        rows = lacking.where(F.pmod(F.xxhash64("query_id"), F.lit(n_passes)) == i).collect()
+        if rows:
+            out = out.unionByName(materialize(_exact(distinct, [r["query_id"] for r in rows], np.array([r["v"] for r in rows]), k), "exact"))
+    return out
+
+
+def _keep(found: dict, q_ids: list, q: np.ndarray, x: np.ndarray, norms: np.ndarray, ids: list, k: int) -> None:
+    """Put the vectors x nearest to each of q, with k + 1 different ids if there are, and ties of the last, into found."""
+    s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * norms)
+    first = min(len(x), k + 1)
+    top = np.argpartition(-s, first - 1, axis=1)[:, :first] if first < len(x) else np.broadcast_to(np.arange(first), (len(q), first))
+    for i, query in enumerate(q_ids):
+        mine = found.setdefault(query, {})
+        # equals of the last score taken may be tied: all of them are looked at
+        take, cut = first, s[i, top[i]].min()
+        near = np.flatnonzero(s[i] >= cut - 1e-12)
+        while take < len(x) and len({c for j in near for c in ids[j]}) <= k:  # rows of the same ids fill the places
+            take = min(len(x), 2 * take)
+            cut = -np.partition(-s[i], take - 1)[take - 1]
+            near = np.flatnonzero(s[i] >= cut - 1e-12)
+        for j in near:
+            for c in ids[j]:
+                if c != query:
+                    mine[c] = max(s[i, j], mine.get(c, -2.0))
+        if len(mine) > 16 * (k + 1):
+            found[query] = dict(sorted(mine.items(), key=lambda e: (-e[1], e[0]))[: 2 * (k + 1)])
+
+
+def _rows(found: dict, k: int) -> pa.RecordBatch:
+    rows = [(q, c, v) for q, mine in found.items() for c, v in sorted(mine.items(), key=lambda e: (-e[1], e[0]))[: 2 * (k + 1)]]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     near = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(distinct: DataFrame, q_ids: list, q: np.ndarray, k: int) -> DataFrame:
+    """The k nearest of all vectors for each of the queries."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, float]] = {}
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
+                ids, x = part.column(0).to_pylist(), _vectors(part.column(1))
+                norms = np.linalg.norm(x, axis=1)
+                for at in range(0, len(q_ids), BLOCK):
+                    _keep(found, q_ids[at : at + BLOCK], q[at : at + BLOCK], x, norms, ids, k)
+        yield _rows(found, k)
+
+    return _ranked(distinct.select("ids", "v").mapInArrow(score, "query_id long, vec_id long, score double"), k)
