@@ -237,7 +237,7 @@ def extract(html: str | None) -> str:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page row; null html is an empty page, repeated rows each get a row."""
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     source = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

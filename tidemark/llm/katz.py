@@ -147,7 +147,7 @@ def _count(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 def counts(parts: DataFrame, buckets: int) -> DataFrame:
     """chunk, bucket, c (packed) of every chunk and bucket; and for each bucket a row without chunk of freq (by kind and count r up to CUT + 1: how many) and total tokens and kinds of words."""
-    small_batches(parts.sparkSession, 4)
+    small_batches(parts.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,7 +260,7 @@ class Model:
                 for r in b.to_pylist():
                     yield pa.RecordBatch.from_pylist(documents(r, _Chunk(r["held"], r["end"], r["words"], r["tokens"], buckets)), schema)
 
-        small_batches(self.chunks.sparkSession, 4)
+        small_batches(self.chunks.sparkSession)
         # one chunk's counts: as many as it has words and bigrams, whatever the corpus
         mine = self.counts.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "c")).alias("got"))
         both = self.chunks.join(mine.hint("merge"), "chunk")
@@ -278,5 +278,5 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     each = m.scored.where("kind = 0")
     # bigrams that were not counted: only held-out documents have them
     new = each.where(F.size("a") > 0).select("chunk", "i", F.explode("a").alias("a")).groupBy("chunk", "i", "a").count()
-    fixed = new.join(small_side(m.histories.select("a", "weight"), 24), "a").groupBy("chunk", "i").agg(F.sum(F.col("count") * F.log10("weight")).alias("more"))
+    fixed = new.join(small_side(m.histories.select("a", "weight")), "a").groupBy("chunk", "i").agg(F.sum(F.col("count") * F.log10("weight")).alias("more"))
     return each.join(fixed, ["chunk", "i"], "left").select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))

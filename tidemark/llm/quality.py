@@ -13,14 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket_of, small_batches
+from .common import bucket_of, fresh, small_batches
 
 EMBED, BLOCK, CHUNK, FILTERS = 8, 4, 256, 24
 PER_CHUNK = CHUNK // BLOCK
-#: The network is fitted on at most this many labelled documents (those of the smallest hashes), none longer than this.
-TRAIN_DOCS, TRAIN_BYTES = 3000, 32_768
+#: The network is fitted on at most this many labelled documents, those of the smallest hashes, taken in the order of
+#: their hashes up to this many bytes of text in all. No text is left out or cut for its own length.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 24 << 20
 EPOCHS, STEPS, BATCH, RATE, SEED = 12, 500, 48, 0.004, 11  # at least so many epochs and steps
 SLAB = 2048  # chunks worked on at once: bounds memory however long a text is
 FOLDS, THRESHOLD = 5, 0.3
@@ -113,7 +115,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
             batch = [texts[i] for i in rows]
             flat, chunks = lay_out(batch)
             total = int(chunks.sum())
-            scores, best, act_x = _forward(net, flat, chunks)
+            scores, best = _forward(net, flat, chunks)
             act, mean, top = features(net, scores, chunks)
             feat = np.concatenate([mean, top], 1)
             p = 1 / (1 + np.exp(-np.clip(feat @ net.out + net.base, -40, 40)))
@@ -126,14 +128,15 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
             first = best + (np.arange(total) * PER_CHUNK)[:, None]  # the block each best window begins with
             then = first + 1
             then[(best == PER_CHUNK - 1) & np.isin(np.arange(total), np.cumsum(chunks) - 1)[:, None]] = total * PER_CHUNK  # the zeros at the end
-            head_x, tail_x = act_x[first], act_x[then]  # (chunks, FILTERS, BLOCK * EMBED)
-            d_head, d_tail = np.einsum("cfd,cf->df", head_x, g, optimize=True), np.einsum("cfd,cf->df", tail_x, g, optimize=True)
-            d_embed = np.zeros_like(net.embed)
-            for blocks, w in ((first, net.head), (then, net.tail)):
-                d_x = (g[:, :, None] * w.T[None]).reshape(-1, BLOCK, EMBED)
-                ids = flat[(blocks.reshape(-1) * BLOCK)[:, None] + np.arange(BLOCK)]
-                for e in range(EMBED):
-                    d_embed[:, e] += np.bincount(ids.ravel(), d_x[:, :, e].ravel(), 256).astype(np.float32)
+            d_head, d_tail, d_embed = np.zeros_like(net.head), np.zeros_like(net.tail), np.zeros_like(net.embed)
+            for c in range(0, total, SLAB):
+                mine = g[c : c + SLAB]
+                for blocks, w, d_w in ((first, net.head, d_head), (then, net.tail, d_tail)):
+                    ids = flat[(blocks[c : c + SLAB] * BLOCK)[:, :, None] + np.arange(BLOCK)]  # (chunks, FILTERS, BLOCK)
+                    d_w += np.einsum("cfd,cf->df", net.embed[ids].reshape(*ids.shape[:2], -1), mine, optimize=True)
+                    d_x = (mine[:, :, None] * w.T[None]).reshape(-1, EMBED)
+                    for e in range(EMBED):
+                        d_embed[:, e] += np.bincount(ids.ravel(), d_x[:, e], 256).astype(np.float32)
             grads = [d_embed, d_head, d_tail, g.sum(0), feat.T @ dz]
             t += 1
             for k, (p_, g_) in enumerate(zip(params, grads, strict=True)):
@@ -147,37 +150,65 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def _forward(net: Network, flat: np.ndarray, chunks: np.ndarray):
-    """Chunk scores, their best windows and all embedded blocks."""
-    x = net.embed[flat].reshape(-1, BLOCK * EMBED)
+def _forward(net: Network, flat: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk scores and their best windows."""
     total, last = int(chunks.sum()), np.cumsum(chunks) - 1
     scores, best = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.int64)
     for c in range(0, total, SLAB):
         d = min(total, c + SLAB)
-        z = _windows(net, x[c * PER_CHUNK : d * PER_CHUNK + 1], c, d, last)
+        z = _windows(net, net.embed[flat[c * CHUNK : d * CHUNK + BLOCK]].reshape(-1, BLOCK * EMBED), c, d, last)
         best[c:d] = z.argmax(1)
         scores[c:d] = np.take_along_axis(z, best[c:d][:, None], 1)[:, 0]
-    return scores, best, x
+    return scores, best
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """text (bytes) and y of the bounded sample, in one partition."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(bucket_of(F.col("doc_id"), FOLDS) != 0)
+    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", (F.col("y") > 0).cast("double").alias("y"))
+    rows = rows.orderBy("h", "doc_id", "text").limit(2 * train_docs)  # more than train_docs only where ids are repeated
+    before = F.sum(F.octet_length("text")).over(W.orderBy("h", "doc_id", "text").rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
-    """Fit on the labelled documents outside the held-out fold.
+    """Fit on labelled documents outside the held-out fold, in one task; the driver gets the parameters alone.
 
     Of labels with null ids or quality nothing is learned; ids labelled twice count with their lowest label, documents
-    with repeated ids with each text. The sample is chosen by hash among all labels and bounded in rows and in bytes a text.
+    with repeated ids with each text, null texts as empty ones. The sample is chosen by hash among all labels and
+    bounded in rows and in bytes overall, so it never depends on a text's own length.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(bucket_of(F.col("doc_id"), FOLDS) != 0)
-    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary"), "y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * train_docs).collect()
-    return fit([bytes(r[1]) for r in rows], np.array([float(r[2] > 0) for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, ys = [], []
+        for b in batches:
+            texts += [t.as_py() for t in b.column(0)]
+            ys += b.column(1).to_pylist()
+        net = fit(texts, np.array(ys))
+        yield pa.RecordBatch.from_arrays([pa.array([[p.astype("<f4").tobytes() for p in net.params()]]), pa.array([net.base])], names=["params", "base"])
+
+    small_batches(docs.sparkSession)
+    got = training_rows(docs, labels, train_docs, train_bytes).mapInArrow(run, "params array<binary>, base double").collect()
+    if not got:  # no rows, hence no partition that ran
+        return fit([], np.zeros(0))
+    net = new_network(0.5)
+    for mine, p in zip(net.params(), got[0]["params"], strict=True):
+        mine[...] = np.frombuffer(p, "<f4").reshape(mine.shape)
+    net.base = got[0]["base"]
+    return net
 
 
-def classify(docs: DataFrame, net: Network, columns: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those named) with score, 0 to 1. Null texts score as empty ones; every row is scored whole."""
+def classify(docs: DataFrame, net: Network, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """docs' columns (or those named), and last the score, 0 to 1, under a name that they don't have.
+
+    Null texts score as empty ones; every row, repeated ones too, is scored over its whole text.
+    """
     small_batches(docs.sparkSession)
     keep = columns or docs.columns
-    source = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__bytes"))
-    schema = docs.select(*keep).schema.add("score", "double")
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    schema = kept.drop("bytes").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,15 +223,24 @@ def classify(docs: DataFrame, net: Network, columns: list[str] | None = None) ->
             out.append(score_texts(net, part))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(out))], names=[*b.schema.names[:-1], "score"])
 
-    return source.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document row."""
-    scored = classify(docs, train(docs, labels), ["doc_id"])
+    """doc_id, held_out, score, predicted for every document row.
+
+    Null ids are not held out; null and empty texts have the score of an empty text; repeated rows each get a row;
+    without documents the result is empty, without usable labels every score is one constant. Extra columns are not read.
+    """
+    scored = classify(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"])
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents the classifier doesn't reject, with docs' columns."""
-    return classify(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
+    """The documents the classifier doesn't reject, with docs' columns, whatever their names.
+
+    Rows with null ids or texts are judged as all others, a null text as an empty one; repeated rows go or stay
+    together; an empty table gives an empty one.
+    """
+    (name,) = fresh(docs, "score")
+    return classify(docs, train(docs, labels), name=name).where(F.col(name) >= THRESHOLD).drop(name)
