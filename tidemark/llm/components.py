@@ -9,7 +9,7 @@ from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b), both long, in any direction: every node that has a link, with the smallest node of its component.
+    """links (a, b), both long, in any direction: node, label (a written table): every node that has a link, with the smallest of its component.
 
     Each round a node takes the smallest label among itself and its neighbours, then its label's label. Hubs are no
     problem: minima are partially aggregated, and Spark splits a skewed side of the join.
@@ -25,4 +25,5 @@ def components(links: DataFrame) -> DataFrame:
         discard(label)
         label = new
         if not changed:
-            return label.select("node", "label")
+            discard(both)
+            return label

@@ -20,60 +20,80 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, small_side
+from .common import discard, fresh, materialize, small_batches, small_side
 from .components import components
 
 SHINGLE, SEED, BITS, SMALL = 4, 42, 4, 32
+#: The pipeline's stage takes five-word shingles and several fingerprints of each document: each finds a part of the
+#: copies whose shingles are 0.8 similar or more, so together they find more.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_LEAST = 5, 6, 0.8
+#: Rows of sorted cells that are worked on together, about.
+GATHER = 100_000
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """Bit is 1 if set in over half the shingle hashes; no words: zero. As a signed 64-bit number."""
-    words = text.lower().split()  # bytes: ASCII white space and letters only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < size:
+def fingerprint(text: bytes, size: int = SHINGLE, words: int = 1) -> list[int]:
+    """`words` fingerprints as signed 64-bit numbers; a bit is 1 if set in over half the shingle hashes; no words: zero.
+
+    The first is of the shingles' XXH64, each other one of these hashes mixed anew, so all are of the same shingles.
+    """
+    split = text.lower().split()  # bytes: ASCII white space and letters only
+    if not split:
+        return [0] * words
+    joined = b" ".join(split)
+    if len(split) < size:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
     else:
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+        ends = (np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1).tolist()
         starts = [0, *[e + 1 for e in ends[:-1]]]
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        part = np.array(hashes[i : i + (1 << 15)], dtype=">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+    counts = np.zeros((words, 64), np.int64)
+    for i in range(0, len(hashes), 1 << 13):
+        part = np.array(hashes[i : i + (1 << 13)], dtype=np.uint64)
+        for k in range(words):
+            mixed = _mixed(part, k) if k else part
+            counts[k] += np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), axis=1).view(">i8")[:, 0].tolist()
+
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of bijective mixings of 64-bit numbers."""
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    return h ^ (h >> np.uint64(31))
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and fp of every document row; null texts have no words."""
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, th (hash of the text), fp and more (the other fingerprints) of every document row; null texts have no words."""
     small_batches(docs.sparkSession)
     source = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
+            fps = [fingerprint(t.as_py(), size, words) for t in b.column(2)]
+            cols = [pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1:] for f in fps], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "th", "fp", "more"])
 
-    return source.mapInArrow(run, "doc_id long, th long, fp long")
+    return source.mapInArrow(run, "doc_id long, th long, fp long, more array<long>")
 
 
-def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grid points of each fingerprint: (cell, fingerprint) arrays."""
+def cells(fps: np.ndarray, word: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Grid points of each fingerprint, apart for each of a document's fingerprints: (cell, fingerprint) arrays."""
+    word = np.broadcast_to(np.asarray(word, np.uint64), fps.shape)
     u = fps.view(np.uint64)
     out_c, out_f = [], []
     for half in (0, 1):
         bits = (u >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
         count = (bits & np.uint64(0x55555555)) + ((bits >> np.uint64(1)) & np.uint64(0x55555555))  # 16 counts, 2 bits each
-        tag = np.uint64(half << 33)
+        tag = np.uint64(half << 32) + (word << np.uint64(33))
         out_c.append(count | tag)
         out_f.append(fps)
         for j in range(16):
             one = np.uint64(1 << (2 * j))
             value = (count >> np.uint64(2 * j)) & np.uint64(3)
             for ok, moved in ((value < 2, count + one), (value > 0, count - one)):
-                out_c.append(moved[ok] | tag)
+                out_c.append(moved[ok] | tag[ok])
                 out_f.append(fps[ok])
     return np.concatenate(out_c).view(np.int64), np.concatenate(out_f)
 
@@ -92,12 +112,12 @@ def _forest(f: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within equal cells of sorted input."""
+def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified links (a, b) within equal cells of sorted input, and a place in the cell of each."""
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     sizes = np.diff(edge)
     small = np.repeat(sizes <= SMALL, sizes)
-    a, b = [], []
+    a, b, at = [], [], []
     for lag in range(1, int(min(sizes.max(initial=0), SMALL))):
         same = (cell[lag:] == cell[:-lag]) & small[lag:]
         i = np.flatnonzero(same)
@@ -106,79 +126,144 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nda
         i = i[np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + lag].view(np.uint64)) <= BITS]
         a.append(fp[i])
         b.append(fp[i + lag])
-    big = [x for s, n in zip(edge[:-1], sizes) if n > SMALL for x in _forest(fp[s : s + n])]
-    if big:
-        x = np.array(big, dtype=np.int64)
-        a.append(x[:, 0])
-        b.append(x[:, 1])
+        at.append(i)
+    for s, n in zip(edge[:-1], sizes):
+        if n > SMALL and (big := _forest(fp[s : s + n])):
+            x = np.array(big, dtype=np.int64)
+            a.append(x[:, 0])
+            b.append(x[:, 1])
+            at.append(np.full(len(x), s))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none, *at])
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints, enough for the components; fps has distinct fp."""
+    """(word, a, b): links between different fingerprints of one word, enough for the components; fps has distinct word, fp."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
-                c, f = cells(b.column(0).slice(i, 4096).to_numpy(zero_copy_only=False))
+                word, fp = (c.slice(i, 4096).to_numpy(zero_copy_only=False) for c in b.columns)
+                c, f = cells(fp.astype(np.int64), word.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(f)], names=["cell", "fp"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = fp = np.zeros(0, np.int64)
-        empty = True
+        none = np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
+        waiting, enough = 0, GATHER
 
         def done(c, f):
-            a, b = links_in_cells(c, f)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, at = links_in_cells(c, f)
+            return pa.RecordBatch.from_arrays([pa.array((c[at].view(np.uint64) >> np.uint64(33)).astype(np.int32)), pa.array(a), pa.array(b)], names=["word", "a", "b"])
 
         for b in batches:  # sorted by cell; the last cell waits for its rest
-            empty = False
-            cell = np.concatenate([cell, b.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False)])
+            parts.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            waiting += b.num_rows
+            if waiting < enough:
+                continue
+            cell, fp = (np.concatenate(x) for x in zip(*parts))
             cut = int(np.searchsorted(cell, cell[-1], "left"))
-            if cut >= 100_000:
+            if cut:
                 yield done(cell[:cut], fp[:cut])
-                cell, fp = cell[cut:], fp[cut:]
-        if not empty:
-            yield done(cell, fp)
+            parts, waiting = [(cell[cut:], fp[cut:])], len(cell) - cut
+            enough = max(GATHER, 2 * waiting)  # so that a large cell is put together few times
+        if waiting:
+            yield done(*(np.concatenate(x) for x in zip(*parts)))
+
+    placed = fps.select("word", "fp").mapInArrow(spread, "cell long, fp long")
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(check, "word int, a long, b long").distinct()
 
-    placed = fps.select("fp").mapInArrow(spread, "cell long, fp long")
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(check, "a long, b long").distinct()
 
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """texts (fp, text): fp, shingles (the different hashes, as the fingerprints take them)."""
 
-def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prints, component): doc_id, th, fp of every row; and fp, label (smallest of its component), component_id of every fingerprint."""
-    prints = materialize(fingerprints(docs), "fingerprints")
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    label = components(materialize(fingerprint_links(fps), "fingerprint-links"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                split = t.as_py().lower().split()
+                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(split[i : i + size]), SEED) - (1 << 63) for i in range(max(1, len(split) - size + 1))} if split else ()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return texts.mapInArrow(run, "fp long, shingles array<long>")
+
+
+def similar(docs: DataFrame, links: DataFrame, fps: DataFrame, size: int, least: float) -> DataFrame:
+    """The links (a, b) of which the first documents of both fingerprints have a Jaccard similarity of shingles of `least` or more."""
+    ends = materialize(links.select("a").unionAll(links.select("b")).toDF("fp").distinct().join(fps, "fp").select("fp", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")), "link-ends")
+    texts = docs.select("doc_id", "text").join(small_side(ends), docs["doc_id"].eqNullSafe(ends["d"]) & (F.xxhash64(docs["text"]) == ends["h"]))
+    sets = materialize(shingle_sets(texts.select("fp", F.coalesce("text", F.lit("")).cast("binary").alias("text")), size).dropDuplicates(["fp"]), "shingle-sets")
+    both = links.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    out = materialize(both.where(shared >= least * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "similar-links")
+    discard(ends, sets)
+    return out
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(prints, component): doc_id, th, fp of every row; and of every fp its component_id and the component's first row (struct none, doc_id, th).
+
+    Documents are linked if any of their `words` fingerprints differ in at most BITS bits. A document stands under its
+    first fingerprint fp: equal ones are linked anyway. Where others link, the least fp of their documents stands for them.
+    With `least`, a link between different fp counts only if its shingles are so similar; of a cell of more than SMALL
+    fingerprints, the links of its forest are those compared.
+    """
+    prints = materialize(fingerprints(docs, size, words), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(row).alias("first")), "distinct-fingerprints")
+    if words == 1:
+        links = fingerprint_links(fps.select(F.lit(0).alias("word"), "fp")).select("a", "b")
+        used = []
+    else:
+        others = prints.select("fp", F.posexplode("more").alias("word", "f")).withColumn("word", F.col("word") + 1)
+        stands = materialize(others.groupBy("word", "f").agg(F.min("fp").alias("rep"), F.max("fp").alias("far")), "other-fingerprints")
+        found = materialize(fingerprint_links(fps.select(F.lit(0).alias("word"), "fp").unionAll(stands.select("word", F.col("f").alias("fp")))), "word-links")
+        used = [stands, found]
+        rep = lambda side: stands.select("word", F.col("f").alias(side), F.col("rep").alias(f"r{side}"))
+        via = small_side(found.where("word > 0")).join(rep("a"), ["word", "a"]).join(rep("b"), ["word", "b"]).select("ra", "rb")
+        shared = others.join(small_side(stands.where("rep <> far").drop("far")), ["word", "f"]).select("fp", "rep").distinct()  # one f, different fp
+        links = found.where("word = 0").select("a", "b").unionAll(via.toDF("a", "b")).unionAll(shared.toDF("a", "b"))
+    links = materialize(links.where("a <> b").distinct(), "fingerprint-links")
+    if least:
+        used.append(links)
+        links = similar(docs, links, fps, size, least)
+    label = components(links)
     mine = label.join(fps, label["node"] == fps["fp"])
-    least = mine.groupBy("label").agg(F.min("least").alias("least"))
-    linked = mine.select("node", "label").join(least, "label").select(F.col("node").alias("fp"), "label", "least")
-    alone = fps.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("label"), "least")
-    return prints, materialize(linked.union(alone).withColumnRenamed("least", "component_id"), "components")
+    best = mine.groupBy("label").agg(F.min("least").alias("least"), F.min("first").alias("first"))
+    linked = mine.select("fp", "label").join(best, "label").select("fp", "least", "first")
+    alone = fps.join(label.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "least", "first")
+    out = materialize(linked.unionAll(alone).withColumnRenamed("least", "component_id"), "components")
+    discard(fps, links, label, *used)
+    return prints, out
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document row.
 
     Rows with equal fingerprints are linked, also those of empty texts (fingerprint zero). Null ids get a row, but are
-    no component's id: one of null ids only has a null id. Extra columns are not read.
+    no component's id: one of null ids only has a null id. Repeated rows each get a row; extra columns are not read; an
+    empty table gives an empty one.
     """
     prints, component = groups(docs)
     return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest id (of repeated ids, the smallest hash of text); columns as docs has them."""
-    prints, component = groups(docs)
-    each = prints.join(component, "fp").groupBy("label", "doc_id", "th").agg(F.count("*").alias("n"))
-    first = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("th"))).alias("f"))
-    judged = each.join(first, "label")
-    lead = each["doc_id"].eqNullSafe(F.col("f.doc_id")) & (each["th"] == F.col("f.th"))
-    marked = materialize(judged.select(each["doc_id"].alias("__d"), each["th"].alias("__h"), lead.alias("__lead"), each["n"].alias("__n")).where(~F.col("__lead") | (F.col("__n") > 1)), "not-kept")
-    joined = docs.join(small_side(marked, 40), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left")
-    cols = [docs[c] for c in docs.columns]
-    single = joined.where(F.col("__lead").isNull()).select(*cols)
-    repeated = joined.where(F.col("__lead")).dropDuplicates(["__d", "__h"]).select(*cols)
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, words: int = STAGE_WORDS, least: float = STAGE_LEAST) -> DataFrame:
+    """One document of each group, that of the smallest id (of repeated ids, the smallest hash of text); columns as docs has them.
+
+    Links are those of `words` fingerprints of shingles of `size` words, if the shingles are `least` similar. Null ids come last; null and empty texts are
+    one group. Of repeated rows one stays, whichever of them. Extra columns, whatever their names, are kept.
+    """
+    prints, component = groups(docs, size, words, least)
+    first = component.select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).distinct().withColumn("lead", F.lit(True))
+    each = prints.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    judged = each.join(first, each["doc_id"].eqNullSafe(first["d"]) & (each["th"] == first["h"]), "left")
+    d, h, lead = fresh(docs, "other_id", "other_hash", "lead")
+    marked = judged.select(F.col("doc_id").alias(d), F.col("th").alias(h), F.coalesce("lead", F.lit(False)).alias(lead), "n")
+    marked = materialize(marked.where(~F.col(lead) | (F.col("n") > 1)).drop("n"), "not-kept")
+    discard(prints, component)
+    joined = docs.join(small_side(marked), docs["doc_id"].eqNullSafe(marked[d]) & (F.xxhash64(docs["text"]) == marked[h]), "left")
+    cols = [docs[f"`{c}`"] for c in docs.columns]
+    single = joined.where(marked[lead].isNull()).select(*cols)
+    repeated = joined.where(marked[lead]).dropDuplicates([d, h]).select(*cols)
     return single.unionByName(repeated)
