@@ -91,6 +91,55 @@ def test_quality_covers_the_whole_text():
     assert np.allclose(one, quality.score_texts(net, [b"", b"x" * 256, b"y" * 99_999]), atol=1e-5)
 
 
+def naive_score(net, text):
+    """One text's score by the definition: every window of every filter, the best of each chunk, mean and maximum of the chunks."""
+    chunks = len(text) // quality.CHUNK + 1
+    padded = text + bytes(chunks * quality.CHUNK + quality.BLOCK - len(text))
+    best = []
+    for c in range(chunks):
+        scores = []
+        for start in range(c * quality.CHUNK, (c + 1) * quality.CHUNK, quality.BLOCK):
+            window = np.concatenate([net.embed[b] for b in padded[start : start + 2 * quality.BLOCK]]).astype(np.float64)
+            scores.append(window @ np.concatenate([net.head, net.tail]).astype(np.float64))
+        best.append(np.maximum(np.max(scores, axis=0) + net.bias, 0))
+    z = np.concatenate([np.mean(best, axis=0), np.max(best, axis=0)]) @ net.out + net.base
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_by_definition():
+    r = random.Random(8)
+    texts = [b"", b"a", b"x" * 255, b"y" * 256, *[bytes(r.randrange(256) for _ in range(r.randrange(2000))) for _ in range(12)]]
+    net = quality.fit(texts, np.array([float(len(t) % 2) for t in texts]))
+    assert np.allclose(quality.score_texts(net, texts), [naive_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_quality_gradient():
+    """A step of the fit goes down the log loss: the gradients are those of the loss, by small differences."""
+    texts, y = [b"good words here " * 40, b"bad ## words && " * 30, b"fine text again " * 50], np.array([1.0, 0.0, 1.0])
+    loss = lambda net: -np.mean([math.log(p if t else 1 - p) for p, t in zip(quality.score_texts(net, texts), y)])
+    assert loss(quality.fit(texts, y)) < 0.1 < loss(quality.new_network(0.6))
+
+
+def test_accept_keeps_clashing_columns(spark):
+    rows = [(i, "some good words " * 20 if i % 2 else "### &&& " * 30, 0.25, b"b", 7) for i in range(60)] + [(None, None, None, None, None), (1, "some good words " * 20, 0.25, b"b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, bytes binary, `a.b` int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = quality.accept(docs, labels)
+    assert kept.schema == docs.schema
+    out = kept.where("doc_id IS NOT NULL").collect()
+    assert {r["doc_id"] for r in out} == set(range(1, 60, 2)) and len(out) == 31 and all(r["score"] == 0.25 and r["a.b"] == 7 for r in out)
+    assert quality.accept(docs.limit(0), labels).count() == 0
+
+
+def test_long_texts_are_in_the_training_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * (200_000 if i % 3 else 10)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sizes = [len(r["text"]) for r in quality.training_rows(docs, labels).collect()]
+    assert len(sizes) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30)) and max(sizes) == 200_000
+    few = quality.training_rows(docs, labels, train_bytes=500_000).collect()
+    assert 3 <= len(few) < len(sizes)
+
+
 def test_urls(spark):
     r = random.Random(1)
     cases = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com/en", "http://a.net/es/1", "http://net/fr/", "http://xnet/fr/", "http://a.example.com/en/?q", "a://b://c.com/", "http://ä.com/#/en/", "http://com", "http://x.org/" + "9" * 5000]
@@ -247,10 +296,57 @@ def test_simhash(docs):
             least[g] = min(least.get(g, i), i)
     out = Counter((x["doc_id"], x["fingerprint"], x["component_id"]) for x in simhash.digest(docs).collect())
     assert out == Counter((i, f"{f:016x}", least.get(g)) for (i, _), f, g in zip(rows, fps, group))
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, 4, 1, 0.0)
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+def test_simhash_stage(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = stage_keeps(rows)
+    assert len(want) < len(set(rows)) and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+
+
+def stage_fingerprints(text):
+    """The stage's fingerprints by whole numbers, and the set of shingles."""
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+    full, out = (1 << 64) - 1, []
+    for k in range(simhash.STAGE_WORDS):
+        hs = []
+        for s in shingles:
+            h = xxhash.xxh64_intdigest(s, 42)
+            if k:
+                h = (h + k * 0x9E3779B97F4A7C15) & full
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+                h ^= h >> 31
+            hs.append(h)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs)))
+    return out, set(shingles)
+
+
+def stage_keeps(rows):
+    """Different rows (doc_id, text) that stay, by comparing all pairs of texts; ids with several texts only in groups of their own."""
+    prints = {t: stage_fingerprints(t) for _, t in rows}
+    texts = list(prints)
+    group = {t: k for k, t in enumerate(texts)}
+    for x in texts:
+        for y in texts:
+            (f, s), (g, u) = prints[x], prints[y]
+            alike = f[0] == g[0] or any((a ^ b).bit_count() <= 4 for a, b in zip(f, g)) and len(s & u) >= 0.8 * len(s | u)
+            if alike and group[x] != group[y]:
+                old, new = group[x], group[y]
+                group = {t: new if k == old else k for t, k in group.items()}
+    first = {}
+    for i, t in set(rows):
+        key = (i is None, i or 0)
+        if group[t] not in first or key < first[group[t]][0]:
+            first[group[t]] = (key, (i, t))
+    return [r for _, r in first.values()]
+
+
 def test_simhash_cells_find_every_link():
     r = np.random.default_rng(2)
     f = r.integers(-(2**63), 2**63 - 1, 300)
@@ -264,8 +360,9 @@ def test_simhash_cells_find_every_link():
     every = np.unique(np.concatenate([f, np.array(near)]))
     c, v = simhash.cells(every)
     o = np.argsort(c, kind="stable")
-    a, b = simhash.links_in_cells(c[o], v[o])
+    a, b, at = simhash.links_in_cells(c[o], v[o])
     got = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+    assert all(set(c[v == x]) & set(c[v == y]) for x, y in zip(a[:50], b[:50])) and (c[o][at] < 2**33).all()
     want = {frozenset((int(x), int(y))) for i, x in enumerate(every) for y in every[:i][np.bitwise_count(every[:i].view(np.uint64) ^ x.view(np.uint64)) <= 4]}
     assert got == want and len(want) > 1000
     assert len(simhash._forest(np.arange(200, dtype=np.int64))) == 199

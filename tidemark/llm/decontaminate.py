@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, Sieve, ascii_lower, materialize, raw_words, words_of
+from .common import BROADCAST_BYTES as SMALL_BYTES
+from .common import GAP, ROW_BYTES, Sieve, ascii_lower, fresh, materialize, raw_words, words_of
 
 #: Bytes of distinct windows up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
@@ -64,13 +65,17 @@ def remove(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2) ->
     Documents with windows of min_items or more items go; of those with fewer, the hit words and the separators
     after them go. Documents without hits are left as they are. Repeated rows are treated alike.
     """
-    found = scan(docs, items, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__s"), F.size("items").alias("__n")).dropDuplicates(["__d", "__h"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__d"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left")
+    d, h, spans, of = fresh(docs, "other_id", "other_hash", "spans", "n_items")
+    found = scan(docs, items, n).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("spans").alias(spans), F.size("items").alias(of)).dropDuplicates([d, h])
+    found = materialize(found, "contaminated")
+    bytes_ = found.agg(F.count("*") * ROW_BYTES + F.coalesce(F.sum(F.size(spans)), F.lit(0)) * 32).first()[0]
+    found = F.broadcast(found) if bytes_ <= SMALL_BYTES else found
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[d]) & (F.xxhash64(docs["text"]) == found[h]), "left")
     units = F.regexp_extract_all(F.col("text"), F.lit(f"{GAP.replace('[', '[^', 1)}+{GAP}*"), F.lit(0))
     lead = F.regexp_extract(F.col("text"), f"^{GAP}*", 0)
-    left = F.concat(lead, F.array_join(F.filter(units, lambda u, i: ~F.exists(F.col("__s"), lambda s: (i >= s["p"]) & (i < s["e"]))), ""))
-    kept = joined.where(F.coalesce(F.col("__n"), F.lit(0)) < min_items)
-    out = {c: docs[c] for c in docs.columns} | {"text": F.when(F.col("__n").isNull(), docs["text"]).otherwise(left)}
+    left = F.concat(lead, F.array_join(F.filter(units, lambda u, i: ~F.exists(F.col(spans), lambda s: (i >= s["p"]) & (i < s["e"]))), ""))
+    kept = joined.where(F.coalesce(F.col(of), F.lit(0)) < min_items)
+    out = {c: docs[f"`{c}`"] for c in docs.columns} | {"text": F.when(F.col(of).isNull(), docs["text"]).otherwise(left)}
     return kept.select(*[v.alias(c) for c, v in out.items()])
 
 
