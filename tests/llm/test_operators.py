@@ -484,15 +484,92 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
-@pytest.mark.parametrize("menu", ["", "<nav><ul>" + "<li><a href='/x'>some menu entry</a></li>" * 12 + "</ul></nav>"])
+@pytest.mark.parametrize("menu", ["", "<nav><ul>" + "<li><a href='/x'>some menu entry</a></li>" * 12 + "</ul></nav>", "<ul>" + "<li><a href='/x'>some entry</a></li>" * 9 + "</ul>"])
 def test_html_density_decides(menu):
     page = f"<body>{menu}<div class=xq>Buy now</div><div>{'<p>' + 'word ' * 50 + '</p>'}{'<p>' + 'more ' * 50 + '</p>'}</div></body>"
     root = html.parse(page)
     html.measure(root)
     assert root.density > 0 and root.peak is not root and root.peak.chars == 400
-    text = "\n".join([("word " * 50).strip(), ("more " * 50).strip()])
-    # beside a large menu the threshold is low: the method keeps short blocks without links that reach it
-    assert html.extract(page) == (text if not menu else "Buy now\n" + text)
+    assert html.extract(page) == "\n".join([("word " * 50).strip(), ("more " * 50).strip()])
+
+
+TALK = "The quick brown fox jumps over the lazy dog and runs. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout with-sidebar"><article><h1>T</h1><p>{TALK}</p></article><div class="sidebar">{TALK}</div></div>',
+        f'<div class="post share"><h1>T</h1><p>{TALK}</p></div>', f'<div id="search-page"><main><h1>T</h1><p>{TALK}</p></main></div>',
+        f'<form id="aspnetForm"><div class="menu"><a href=x>a</a></div><div><h1>T</h1><p>{TALK}</p></div><input><button>Go</button></form>',
+        f"<ul><li><a href=a>Home page</a></li><li><a href=b>About us</a></li></ul><div><h1>T</h1><p>{TALK * 2}</p></div><div>Copyright 2024 Foo</div>",
+        f"<main><h1>T</h1><p>{TALK}</p><div id=comments><p>{TALK}</p><p>{TALK}</p></div></main>",
+        f"<div><h1>T</h1><p>{TALK}</p></div><div id=comments>{f'<p>{TALK}</p>' * 4}</div>",
+    ],
+)
+def test_html_names_only_weigh(page):
+    assert html.extract(f"<body>{page}</body>").replace(f"{TALK.strip()} {TALK.strip()}", TALK.strip()) == f"T\n{TALK.strip()}"
+
+
+def test_html_densities_by_definition(spark):
+    """Densities of whole pages, recomputed with the standard library's parser; and that they decide."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.nodes, self.raw = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.RAW | {"head"}:
+                self.raw += 1
+            elif not self.raw and tag in ("div", "nav", "article", "footer", "li", "ul"):
+                self.open.append({"tag": tag, "text": 0, "links": 0})
+                self.nodes.append(self.open[-1])
+            self.link = tag == "a"
+
+        def handle_endtag(self, tag):
+            if tag in html.RAW | {"head"}:
+                self.raw -= 1
+            elif self.open and self.open[-1]["tag"] == tag:
+                self.open.pop()
+            if tag == "a":
+                self.link = False
+
+        def handle_data(self, data):
+            n = 0 if self.raw else len("".join(data.split()))
+            for x in self.open:
+                x["text"] += n
+                x["links"] += n * self.link
+
+    changed = 0
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        root, mine, todo = html.parse(row["html"].replace("&", "")), [], []
+        html.measure(root)
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            if x.tag in ("div", "nav", "article", "footer", "li", "ul"):
+                mine.append((x.tag, x.chars, x.link_chars))
+            inside = [c for c in x.children if isinstance(c, html.Node)]
+            if x.chars:
+                ratio = x.chars / max(1, x.link_chars) * max(1, x.tags) / max(1, x.link_tags)
+                base = x.chars * x.link_chars / max(1, x.chars - x.link_chars) + root.link_chars / root.chars * x.chars + math.e
+                plain = x.chars / max(1, x.tags) * math.log(max(1.0, ratio)) / math.log(math.log(base))
+                marks = [p for p in ups(x) if p.noise]
+                assert math.isclose(x.density, plain * html.WEIGHT ** len(marks), abs_tol=1e-9)
+            todo += inside
+        tree = Tree()
+        tree.feed(row["html"].replace("&", ""))
+        assert sorted(mine) == sorted((x["tag"], x["text"], x["links"]) for x in tree.nodes)
+        changed += root.peak is not root
+    assert changed > 45  # very short articles have less than their pages
+
+
+def ups(node):
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def test_html_keeps_all_dense_subtrees():
