@@ -46,6 +46,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    # shuffle files and broadcasts of tables written before go when the driver collects its garbage
+    spark.sparkContext._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)

@@ -3,11 +3,11 @@
 Tokens are words split at ASCII white space, A-Z lower-cased, and an end at each text's end; a start stands before it.
 For a history h and a token w:
 
-    p(w | h) = d(c) c / C(h)          where the bigram was counted c times, d(c) the Good-Turing discount
+    p(w | h) = d(c) c / (C(h) + 1/2)  where the bigram was counted c times, d(c) the Good-Turing discount
     p(w | h) = weight(h) q(w)         otherwise; q is the discounted unigram distribution
     weight(h) = (1 - sum of p(v | h) over counted v) / (1 - sum of q(v) over counted v)
 
-q keeps the Good-Turing share of unseen tokens for one unknown token. Unknown histories have weight 1.
+The half keeps something for words not counted after h even where no count of h is discounted. q keeps the Good-Turing share of unseen tokens for one unknown token. Unknown histories have weight 1.
 
 Four written tables, each made from the ones before:
 
@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialize, small_batches, small_side
+from .common import bucket_of, discard, materialize, small_batches, small_side
 
-FOLDS, CUT = 10, 5
+FOLDS, CUT, SPARE = 10, 5, 0.5
 #: Tokens of a chunk (a longer text is a chunk of its own), and hashes of a bucket.
 CHUNK, BUCKET = 500_000, 2_000_000
 #: The first two numbers of each chunk's words.
@@ -203,7 +203,8 @@ def _discounts(counts: dict[int, int], cut: int = CUT) -> dict[int, float]:
 class Model:
     """A fitted model: n tokens, v kinds of them, discounts, and the tables of the module's head.
 
-    The tables cover the documents it was fitted with, training ones and held-out ones.
+    The tables cover the documents it was fitted with, training ones and held-out ones. Chunks and counts are deleted
+    once these are scored.
     """
 
     def __init__(self, docs: DataFrame):
@@ -221,10 +222,9 @@ class Model:
         self.scale = (self.n - 0.5) / self.n if self.n and left < 0.5 else 1.0
         self.unknown = 1 - (self.n - left) * self.scale / self.n if self.n else 1.0
         self.scored = materialize(self._scored(), "lm-scored")
+        discard(self.counts, self.chunks)
         sums = self.scored.where("kind = 1").select(F.inline(F.arrays_zip("a", "p", "q"))).groupBy("a").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-        # a history without discounted counts leaves nothing: its weight is tiny, not zero, so that scores are finite
-        weight = F.greatest(1 - F.col("p"), F.lit(1e-12)) / F.greatest(1 - F.col("q"), F.lit(1e-12))
-        self.histories = materialize(sums.select("a", "p", "q", weight.alias("weight")), "lm-histories")
+        self.histories = materialize(sums.select("a", "p", "q", ((1 - F.col("p")) / (1 - F.col("q"))).alias("weight")), "lm-histories")
 
     def _scored(self) -> DataFrame:
         n, v, scale, unknown, buckets = self.n, self.v, self.scale, self.unknown, self.buckets
@@ -238,7 +238,7 @@ class Model:
             c_a = c.copy()
             c_a[START] = c[END]  # as many starts as ends
             q = np.where(c > 0, d1[np.minimum(c, CUT + 1)] * c * scale / max(n, 1), unknown)
-            p = d2[np.minimum(c2, CUT + 1)] * c2 / np.maximum(c_a[x.pair_a], 1)
+            p = d2[np.minimum(c2, CUT + 1)] * c2 / (c_a[x.pair_a] + SPARE)
             value = np.log10(np.where(c2 > 0, p, q[x.pair_b]))
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
             new = (c2 == 0)[x.at]
