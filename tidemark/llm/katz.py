@@ -19,8 +19,8 @@ Four written tables, each made from the ones before:
                q of the bigrams that it owns, by history
     histories  backoff weights, from these sums
 
-Buckets grow in number with the corpus, so a bucket's size stays about BUCKET hashes. Two different bigrams of equal
-64-bit hash would be counted as one.
+Buckets grow in number with the corpus, so a bucket's size stays about BUCKET hashes. Two different bigrams of one
+bucket and of equal 48-bit hash would be counted as one: less than one pair in a hundred buckets.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from .common import bucket_of, discard, materialize, small_batches, small_side
 FOLDS, CUT, SPARE = 10, 5, 0.5
 #: Tokens of a chunk (a longer text is a chunk of its own), and hashes of a bucket.
 CHUNK, BUCKET = 500_000, 2_000_000
+#: Bytes of a hash that are sent within a bucket.
+KEY_BYTES = 6
 #: The first two numbers of each chunk's words.
 START, END = 0, 1
 
@@ -109,7 +111,7 @@ class _Chunk:
         mixed = _mix(self.words)
         # the lowest bit tells bigrams from words
         keys = np.concatenate([mixed & ~np.uint64(1), _mix(mixed[self.pair_a] * np.uint64(0x9E3779B97F4A7C15) + mixed[self.pair_b]) | np.uint64(1)])
-        bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((keys >> np.uint64(8 * KEY_BYTES - 8)) % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
         self.bucket, self.keys, self.n = bucket[self.order], keys[self.order], n[self.order]
 
@@ -124,13 +126,27 @@ class _Chunk:
 
 
 def _narrow(n: np.ndarray) -> bytes:
-    """Counts as bytes, the width first."""
-    kind = next(k for k in "1248" if n.max(initial=0) < 1 << 8 * int(k))
-    return kind.encode() + n.astype(f"<u{kind}").tobytes()
+    """Counts as a byte each; those of 255 or more follow as 64-bit numbers."""
+    large = n[n >= 255]
+    return len(large).to_bytes(4, "little") + np.minimum(n, 255).astype(np.uint8).tobytes() + large.astype("<u8").tobytes()
 
 
 def _wide(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[:1].decode()}", offset=1).astype(np.int64)
+    k = int.from_bytes(b[:4], "little")
+    out = np.frombuffer(b, np.uint8, len(b) - 4 - 8 * k, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, "<u8", k, len(b) - 8 * k)
+    return out
+
+
+def _low(keys: np.ndarray) -> bytes:
+    """The low KEY_BYTES bytes of each key; the bucket is taken from the others and tells them apart."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _high(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8")[:, 0]
 
 
 def _count(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +172,7 @@ def counts(parts: DataFrame, buckets: int) -> DataFrame:
                 e = x.edges()
                 cut = list(zip(e[:-1], e[1:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(x.bucket[i]) for i, _ in cut], pa.int32()), pa.array([r["chunk"]] * len(cut), pa.int64()), pa.array([x.keys[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([_narrow(x.n[i:j]) for i, j in cut], pa.binary())],
+                    [pa.array([int(x.bucket[i]) for i, _ in cut], pa.int32()), pa.array([r["chunk"]] * len(cut), pa.int64()), pa.array([_low(x.keys[i:j]) for i, j in cut], pa.binary()), pa.array([_narrow(x.n[i:j]) for i, j in cut], pa.binary())],
                     names=["bucket", "chunk", "keys", "n"],
                 )
 
@@ -180,7 +196,7 @@ def counts(parts: DataFrame, buckets: int) -> DataFrame:
                     whose, keys, n = [], [], []
                 now = bucket
                 whose.append(chunk)
-                keys.append(np.frombuffer(k, np.uint64))
+                keys.append(_high(k))
                 n.append(_wide(m))
         if keys:
             yield done()
