@@ -58,3 +58,49 @@ def test_second_writer_fails(s):
     m.version += 1
     with pytest.raises(TableError):
         s.catalog._commit("main", "t", m)
+
+
+def test_references_hold_when_parents_change(s):
+    s.execute("CREATE TABLE p (id INT PRIMARY KEY, n INT); INSERT INTO p VALUES (1, 1), (2, 2), (3, 3); CREATE TABLE c (p INT REFERENCES p(id)); INSERT INTO c VALUES (1), (2)")
+    for bad in ("DELETE FROM p WHERE id = 1", "UPDATE p SET id = 9 WHERE id = 2", "DELETE FROM p", "DROP TABLE p", "ALTER TABLE p RENAME TO q", "ALTER TABLE p RENAME COLUMN id TO i", "ALTER TABLE p DROP COLUMN id"):
+        with pytest.raises(TableError):
+            s.execute(bad)
+    s.execute("DELETE FROM p WHERE id = 3; UPDATE p SET n = 7 WHERE id = 1; ALTER TABLE p DROP COLUMN n")
+    assert rows(s, "SELECT * FROM p") == [(1,), (2,)]
+    s.execute("DROP TABLE c; DROP TABLE p")
+
+
+def test_changes_rewrite_only_parts_with_hits(s):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, n INT); INSERT INTO t VALUES (1, 1), (2, 2); INSERT INTO t VALUES (3, 3); INSERT INTO t VALUES (4, 4)")
+    parts = lambda: [p[0] for p in s.catalog.manifest("main", "t").parts]
+    before = parts()
+    s.execute("UPDATE t SET n = 10 WHERE id = 3; DELETE FROM t WHERE id = 99")
+    assert len(parts()) == 3 and {*before} - {*parts()} == {before[1]}
+    with pytest.raises(TableError):
+        s.execute("UPDATE t SET id = 1 WHERE id = 3")
+    s.execute("DELETE FROM t WHERE n = 10")
+    assert rows(s, "SELECT * FROM t") == [(1, 1), (2, 2), (4, 4)]
+
+
+def test_alter_changes_the_manifest_alone(s):
+    s.execute("CREATE TABLE t (a INT, b INT); INSERT INTO t VALUES (1, 2)")
+    before = s.catalog.manifest("main", "t").parts
+    s.execute("ALTER TABLE t ADD c INT DEFAULT 5; ALTER TABLE t RENAME COLUMN b TO x; ALTER TABLE t DROP COLUMN a; ALTER TABLE t ADD b TEXT; ALTER TABLE t MODIFY COLUMN c INT DEFAULT 6 NOT NULL")
+    assert s.catalog.manifest("main", "t").parts == before and rows(s, "SELECT * FROM t") == [(2, 5, None)]
+    s.execute("INSERT INTO t (x) VALUES (8)")
+    assert rows(s, "SELECT x, c, b FROM t") == [(2, 5, None), (8, 6, None)]
+    for bad in ("ALTER TABLE t ADD d INT NOT NULL", "ALTER TABLE t ADD d INT DEFAULT 1 UNIQUE", "ALTER TABLE t MODIFY COLUMN b TEXT NOT NULL"):
+        with pytest.raises(TableError):
+            s.execute(bad)
+    s.execute("ALTER TABLE t MODIFY COLUMN x BIGINT; ALTER TABLE t RENAME COLUMN x TO a; UPDATE t SET a = a + 3000000000 WHERE c = 6")
+    assert rows(s, "SELECT a, c FROM t") == [(2, 5), (3000000008, 6)]
+
+
+def test_many_values_are_one_relation(s):
+    import time
+
+    s.execute("CREATE TABLE t (a INT, b TEXT, c BIGINT)")
+    began = time.perf_counter()
+    s.execute("INSERT INTO t VALUES " + ", ".join(f"({i}, 'x{i}', {i} * 2)" for i in range(1000)))
+    assert time.perf_counter() - began < 20
+    assert rows(s, "SELECT COUNT(*) AS c, SUM(c) AS s FROM t") == [(1000, 999000)]

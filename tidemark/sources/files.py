@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -15,7 +16,7 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
     def full(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}".rstrip("/")
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(self.full(name)))
@@ -34,18 +35,34 @@ class Store:
         finally:
             stream.close()
 
-    def commit(self, name: str, text: str) -> bool:
-        """Write a file whole or not at all; False if it exists (another writer was first)."""
-        staged = self._path(self.full(f"{name}.staged-{self._jvm.java.util.UUID.randomUUID().toString()}"))
-        out = self._fs.create(staged, False)
-        out.write(bytearray(text.encode()))
+    def commit(self, name: str, data: str | bytes) -> bool:
+        """Write a file under a name that only one writer can create; False if it exists (another writer was first).
+
+        The file system's own create-without-overwrite decides, so two writers can't both succeed where it is atomic.
+        """
+        try:
+            out = self._fs.create(self._path(self.full(name)), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray(data.encode() if isinstance(data, str) else data))
         out.close()
-        final = self._path(self.full(name))
-        if self._fs.exists(final) or not self._fs.rename(staged, final):
-            self._fs.delete(staged, False)
-            return False
         return True
 
+    def cut(self, name: str, length: int) -> None:
+        """Keep a file's first length bytes."""
+        stream = self._fs.open(self._path(self.full(name)))
+        try:
+            data = bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))[:length]
+        finally:
+            stream.close()
+        staged = f"{name}.cut"
+        self.remove(staged)
+        self.commit(staged, data)
+        self.remove(name)
+        self.rename(staged, name)
+
     def rename(self, a: str, b: str) -> None:
         if not self._fs.rename(self._path(self.full(a)), self._path(self.full(b))):
             raise OSError(f"cannot rename {a} to {b}")

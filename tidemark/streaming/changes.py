@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.kv import LOG, latest
+from ..operators.keyed import latest
+from ..sources.kv import LOG
 
 
 def follow(spark: SparkSession, log: str) -> DataFrame:
