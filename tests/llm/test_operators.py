@@ -391,6 +391,21 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_split_heavy_buckets(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = 1 + 0.01 * r.standard_normal((300, 8))  # all in few buckets
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = lambda: sorted((z["query_id"], z["rank"], z["vec_id"], z["score"]) for z in neighbours.search(df).collect())
+    one = found()
+    monkeypatch.setattr(neighbours, "HEAVY", 20)
+    assert found() == one and len(one) == 30
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        assert [z[2] for z in one if z[0] == q] == np.argsort(-s)[:5].tolist()
+
+
 def test_neighbours_count_different_ids_and_find_all(spark):
     e = lambda j, w=1.0: [w if d == j else 0.0 for d in range(64)]
     rows = [(50, e(0)), *[(3, e(0))] * 7, *[(6, [1.0, 0.001 * d, *[0.0] * 62]) for d in range(1, 9)], (4, e(0)), (5, e(0)), (9, e(0, -1.0)), (100, e(7))]

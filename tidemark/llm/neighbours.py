@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches, small_side
 
 K, EVERY = 5, 50
 #: Tables, hash functions of each, bucket width and probes of a table: chosen for a recall of over 0.9 on vectors
 #: without any cluster structure, the hardest case.
 TABLES, M, WIDTH, PROBES, SEED = 12, 6, 1.2, 130, 5
 BLOCK = 512  # queries scored against a bucket at once
+HEAVY = 8192  # members of a bucket that one task holds, about
 EXACT = 4096  # queries scored against all vectors in a pass, about
 
 
@@ -65,6 +66,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     candidates each and queries once for each row's vector. A candidate is never of the query's id. Vectors of another
     length than most are compared among themselves. Extra columns are not read.
     """
+    small_batches(vectors.sparkSession)
     good = materialize(usable(vectors), "vectors")
     out = None
     for (dim,) in good.groupBy(F.size("v")).count().orderBy("count").select("size(v)").collect():
@@ -115,48 +117,43 @@ def _search(good: DataFrame, dim: int, k: int, every: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *[c.take(pa.array(rows)) for c in part.columns]], names=["key", "kind", "ids", "v"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (key, kind): members of a bucket, then its visitors. Each visitor's best are kept for the whole task."""
+        """Rows sorted by (key, salt, kind): members of a bucket, then its visitors. Each visitor's best are kept for the whole task."""
         found: dict[int, dict[int, float]] = {}
-        vec, ids, unit, norms, key_now = [], [], None, None, None
+        members: list[tuple[np.ndarray, list]] = []  # of the bucket at hand: vectors and ids
+        ready, now = None, None
 
         def visit(q_ids: list, q: np.ndarray) -> None:
-            nonlocal unit, norms
-            if not vec:
-                return
-            if unit is None:
-                unit = np.stack(vec)
-                norms = np.linalg.norm(unit, axis=1)
-            _keep(found, q_ids, q, unit, norms, ids, k)
-
-        waiting: tuple[list, list] = ([], [])
-
-        def flush() -> None:
-            if waiting[0]:
-                visit(waiting[0], np.stack(waiting[1]))
-                waiting[0].clear()
-                waiting[1].clear()
+            nonlocal ready
+            if ready is None:
+                x = np.concatenate([m[0] for m in members])
+                ready = x, np.linalg.norm(x, axis=1), [i for m in members for i in m[1]]
+            for at in range(0, len(q_ids), BLOCK):
+                _keep(found, q_ids[at : at + BLOCK], q[at : at + BLOCK], *ready, k)
 
         for b in batches:
-            keys, kinds, lists, x = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist(), _vectors(b.column(3))
-            for i in range(b.num_rows):
-                if keys[i] != key_now:
-                    flush()
-                    key_now, vec, ids, unit = keys[i], [], [], None
-                if kinds[i] == 0:
-                    vec.append(x[i])
-                    ids.append(lists[i])
-                else:
-                    if not vec:
-                        continue
-                    waiting[0].append(lists[i][0])
-                    waiting[1].append(x[i])
-                    if len(waiting[0]) >= BLOCK:
-                        flush()
-        flush()
+            if not b.num_rows:
+                continue
+            key, salt, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists, x = b.column(3).to_pylist(), _vectors(b.column(4))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *new], [*new, b.num_rows], strict=True):
+                if (key[s], salt[s]) != now:
+                    now, members, ready = (key[s], salt[s]), [], None
+                if kind[s] == 0:
+                    members.append((x[s:e], lists[s:e]))
+                elif members:
+                    visit([i[0] for i in lists[s:e]], x[s:e])
         yield _rows(found, k)
 
     placed = both.mapInArrow(place, "key long, kind int, ids array<long>, v array<double>")
-    found = placed.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(score, "query_id long, vec_id long, score double")
+    # buckets of many members are split by salt, and their visitors go to every part: parts' results merge
+    heavy = placed.where("kind = 0").groupBy("key").count().where(F.col("count") > HEAVY).select("key", F.ceil(F.col("count") / HEAVY).cast("int").alias("parts"))
+    heavy = materialize(heavy, "heavy-buckets")
+    split = placed.join(small_side(heavy), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    each = F.when(F.col("kind") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    split = split.select("key", F.explode(each).alias("salt"), "kind", "ids", "v")
+    found = split.repartition("key", "salt").sortWithinPartitions("key", "salt", "kind").mapInArrow(score, "query_id long, vec_id long, score double")
     near = materialize(_ranked(found, k), "near")
     few = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     asked = asked.select(F.col("ids")[0].alias("query_id"), "v")
