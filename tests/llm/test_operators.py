@@ -476,6 +476,47 @@ def test_local_search_serves_all_bins():
     assert items(after) == items(bins)
 
 
+def fewest(items, limit):
+    """The least number of bins, by dynamic programming over subsets: (bins, fill of the last)."""
+    best = {0: (1, 0)}
+    for mask in range(1, 1 << len(items)):
+        best[mask] = min((n, f + x) if f + x <= limit else (n + 1, x) for i, x in enumerate(items) if mask >> i & 1 for n, f in [best[mask ^ 1 << i]])
+    return best[(1 << len(items)) - 1][0]
+
+
+def test_search_against_all_packings():
+    r, equal, worse = random.Random(3), 0, 0
+    for _ in range(60):
+        items = [r.randrange(2, 14) for _ in range(10)]
+        start = packing.best_fit(Counter(items), 20)
+        after = packing.local_search(start, 20)
+        assert sorted(x for b, n in after.items() for x in b * n) == sorted(items) and all(sum(b) <= 20 and n > 0 for b, n in after.items())
+        least, n = fewest(items, 20), sum(after.values())
+        assert least <= n <= sum(start.values())
+        equal += n == least
+        worse += sum(start.values()) > least
+    assert equal >= 58 and worse <= 60
+
+
+def test_search_empties_what_best_fit_leaves():
+    r, fewer = random.Random(9), 0
+    for _ in range(30):
+        counts = Counter(r.randrange(20, 60) for _ in range(120))
+        start = packing.best_fit(counts, 100)
+        after = packing.local_search(start, 100)
+        assert sum((Counter({x: n * b.count(x) for x in set(b)}) for b, n in after.items()), Counter()) == counts
+        fewer += sum(after.values()) < sum(start.values())
+    assert fewer > 0
+
+
+def test_equal_swaps_leave_smaller_items_underfull():
+    bins = Counter({(60, 30): 2, (70, 20, 10): 5, (40, 30, 30): 3, (100,): 1})
+    out = packing.equal_swaps(bins, 100)
+    fills = lambda c: Counter(f for b, n in c.items() for f in [sum(b)] * n)
+    weight = lambda c: sum(n * sum(x * x for x in b) for b, n in c.items() if sum(b) < 100)
+    assert fills(out) == fills(bins) and weight(out) < weight(bins) and sum(out.values()) == 11
+
+
 def test_encoder_has_the_tokenizers_ids():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -27,6 +27,8 @@ LIMIT, END = 1024, 2
 #: Rows that are ranked together at most, about.
 RANK_ROWS = 200_000
 CACHED_WORDS = 300_000
+#: Rounds of equal swaps without effect after which the search ends.
+PATIENCE = 8
 
 
 @cache
@@ -152,17 +154,75 @@ def best_fit(counts: dict[int, int], limit: int) -> Counter:
     return done
 
 
+def _parts(b: tuple) -> list[tuple]:
+    """The different choices of one or two items."""
+    return [*{(x,) for x in b}, *set(combinations(b, 2))]
+
+
+def _swap(b: tuple, out: tuple, into: tuple) -> tuple:
+    left = list(b)
+    for x in out:
+        left.remove(x)
+    return tuple(sorted([*left, *into], reverse=True))
+
+
 def local_search(bins: Counter, limit: int) -> Counter:
-    """Empty bins by moves and swaps with other underfull bins, each of which increases the sum of squared fills.
+    """Empty bins by swaps between underfull bins, each of which increases the sum of squared fills.
+
+    When no such swap is left, every underfull bin makes one equal swap with a full bin, as `equal_swaps` says, and the
+    search goes on; it ends at the lower bound, when no equal swap is left, or when PATIENCE rounds of them in a row let it
+    empty no further bin.
+    """
+    least = -(-sum(sum(b) * n for b, n in bins.items()) // limit)
+    bins, idle = _search(bins, limit, least), 0
+    while sum(bins.values()) > least and idle < PATIENCE:
+        swapped = equal_swaps(bins, limit)
+        if swapped == bins:
+            break
+        further = _search(swapped, limit, least)
+        idle = 0 if sum(further.values()) < sum(bins.values()) else idle + 1
+        bins = further
+    return bins
+
+
+def equal_swaps(bins: Counter, limit: int) -> Counter:
+    """Exchange one or two items of each underfull bin so that it becomes full and a full one lacks what it lacked.
 
-    The emptiest bin gives: an item moves to where it fits best, or is exchanged for one or for two smaller items, or
-    two of its items for one. All bins of its contents do so at once, as far as there are takers. A bin that can give
-    nothing more rests until takers of new contents come up. Ends at the lower bound or when all rest; as the sum of
+    The sum of squared fills stays. Of all swaps with full bins the one is made that leaves the smallest items (by sum of
+    squares) in the bin that is underfull after it, if these are smaller than before: small items find takers.
+    """
+    out = Counter(bins)
+    full: dict[int, dict[tuple[tuple, tuple], int]] = {}  # sum of one or two items: (contents, items): squares of the rest
+    for b in bins:
+        if sum(b) == limit and len(b) > 1:
+            for p in _parts(b):
+                full.setdefault(sum(p), {})[b, p] = sum(x * x for x in b) - sum(x * x for x in p)
+    for giver in sorted((b for b in bins if sum(b) < limit), key=lambda b: (sum(b), b)):
+        free, found = limit - sum(giver), None
+        weight = sum(x * x for x in giver)
+        for given in _parts(giver):
+            fine = sum(x * x for x in given)
+            for (b, returned), rest in full.get(sum(given) + free, {}).items():
+                if rest + fine < weight and out[b] and (found is None or (rest + fine, b) < found[:2]):
+                    found = (rest + fine, b, given, returned)
+        if found is None:
+            continue
+        _, b, given, returned = found
+        n = min(out[giver], out[b])
+        for old, new in ((giver, _swap(giver, given, returned)), (b, _swap(b, returned, given))):
+            out[old] -= n
+            out[new] += n
+    return +out
+
+
+def _search(bins: Counter, limit: int, least: int) -> Counter:
+    """The emptiest bin gives: an item moves to where it fits best, or one or two of its items are exchanged for one or
+    two that are smaller together. All bins of its contents do so at once, as far as there are takers. A bin that can
+    give nothing more rests until takers of new contents come up. Ends at the lower bound or when all rest; as the sum of
     squares grows with each exchange, it does end.
     """
-    bins = Counter(bins)
-    total, count = sum(sum(b) * n for b, n in bins.items()), sum(bins.values())
-    least = -(-total // limit)
+    start, bins = bins, Counter()
+    count = sum(start.values())
     born: dict[tuple, int] = {}  # underfull contents, the oldest first: number of their arrival
     tried: dict[tuple, int] = {}  # arrivals that a giver has seen without use
     waiting: list[tuple[int, tuple]] = []  # a heap of givers
@@ -191,14 +251,6 @@ def local_search(bins: Counter, limit: int) -> Counter:
             del bins[b], born[b]
             rested.discard(b)
 
-    def swap(b: tuple, out: tuple, into: tuple) -> tuple:
-        left = list(b)
-        for x in out:
-            left.remove(x)
-        return tuple(sorted([*left, *into], reverse=True))
-
-    start = bins
-    bins = Counter()
     for b, n in start.items():
         add(b, n)
     while count > least and waiting:
@@ -206,7 +258,7 @@ def local_search(bins: Counter, limit: int) -> Counter:
         if giver not in born or giver in rested:
             continue
         best = None  # (gain, fill after, taker, given, returned)
-        gives = [(x,) for x in set(giver)] + list({*combinations(giver, 2)})
+        gives = _parts(giver)
         since = tried.get(giver, 0)
         for taker in reversed(born):
             if born[taker] <= since:
@@ -215,10 +267,9 @@ def local_search(bins: Counter, limit: int) -> Counter:
                 continue
             fill = sum(taker)
             free = limit - fill
-            ones = [(x,) for x in set(taker)]
-            twos = list({*combinations(taker, 2)})
+            returns = _parts(taker)
             for given in gives:
-                for returned in chain(ones, twos, [()]) if len(given) == 1 else ones:
+                for returned in chain(returns, [()] if len(given) == 1 else []):
                     d = sum(given) - sum(returned)
                     if 0 < d <= free and (gain := 2 * d * (fill - low + d)) > 0 and (best is None or (gain, fill + d) > best[:2]):
                         best = (gain, fill + d, taker, given, returned)
@@ -232,12 +283,12 @@ def local_search(bins: Counter, limit: int) -> Counter:
         take(taker, n)
         if giver in born:
             heappush(waiting, (low, giver))
-        rest = swap(giver, given, returned)
+        rest = _swap(giver, given, returned)
         if rest:
             add(rest, n)
         else:
             count -= n
-        add(swap(taker, returned, given), n)
+        add(_swap(taker, returned, given), n)
     return bins
 
 
