@@ -180,6 +180,47 @@ def test_boosting_learns():
     assert urls.fit(x[:0], y[:0])[1] == [] and urls.fit(x[:5], np.ones(5))[1] == []
 
 
+def url_features(pages):
+    """FEATURES of (url, ruled) rows by the docstring's words."""
+    hosts, out = [], []
+    for u, ruled in pages:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        hosts.append((host.translate(LOWER), re.match(r"[^?#]*", rest[len(host) :])[0], ruled))
+    by = {}
+    for host, _, ruled in hosts:
+        by.setdefault(host.rsplit(".", 1)[-1], []).append(ruled)
+    for (u, _), (host, path, _) in zip(pages, hosts):
+        u = u or ""
+        n, query, peers = max(len(u), 1), re.search(r"\?([^#]*)", u), by[host.rsplit(".", 1)[-1]]
+        params = query[1].count("&") + 1 if query and query[1] else 0
+        entropy = round(-sum(c / n * math.log2(c / n) for c in Counter(u).values()), 9)
+        out.append([len(u), path.count("/"), len(re.findall("[0-9]", u)) / n, entropy, params, host.count("-"), host.count(".") + 1, len(path), math.log1p(len(peers)), (peers.count("allow") + 1) / (len(peers) - peers.count(None) + 2)])
+    return np.array(out, dtype=float)
+
+
+def test_url_scores_by_definition(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").union(spark.createDataFrame([(900, None, ""), (901, "x", ""), (902, "http://q.de/a?b&c#?d", "")], "page_id long, url string, html string"))
+    urls_of = {r["page_id"]: r["url"] for r in pages.collect()}
+    out = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    ids = sorted(out)
+    verdict = {k: next((v for v, h, p in urls.RULES if h + p == out[k]["rule"]), None) for k in ids}
+    x = url_features([(urls_of[k], verdict[k]) for k in ids])
+    ruled = [i for i, k in enumerate(ids) if verdict[k]]
+    prior, trees = urls.fit(x[ruled], np.array([float(verdict[ids[i]] == "allow") for i in ruled]))
+
+    def value(t, row):
+        while isinstance(t, tuple):
+            t = t[2] if row[t[0]] <= t[1] else t[3]
+        return t
+
+    assert trees and len(ruled) > 20
+    for k, row in zip(ids, x):
+        score = 1 / (1 + math.exp(-prior - sum(value(t, row) for t in trees)))
+        assert abs(out[k]["score"] - score) < 1e-6
+        assert out[k]["verdict"] == (verdict[k] or ("allow" if score >= 0.5 else "block"))
+
+
 def distance_one(a, b):
     if len(a) > len(b):
         a, b = b, a
@@ -368,6 +409,29 @@ def test_simhash_cells_find_every_link():
     assert len(simhash._forest(np.arange(200, dtype=np.int64))) == 199
 
 
+def test_simhash_splits_heavy_cells(spark, monkeypatch):
+    """Near fingerprints in one heavy cell: blocks find the links that one task finds, and those that all pairs have."""
+    r = np.random.default_rng(5)
+    base = [int(x) for x in r.integers(0, 2**62, 3)]
+    fps = {b ^ sum(1 << int(k) for k in r.choice(64, r.integers(0, 4), replace=False)) for b in base for _ in range(150)}
+    fps = sorted((x + (1 << 63)) % (1 << 64) - (1 << 63) for x in fps)
+    df = spark.createDataFrame([(w, x) for w in (0, 3) for x in fps], "word int, fp long")
+
+    def groups():
+        label = {(w, x): x for w in (0, 3) for x in fps}
+        for w, a, b in simhash.fingerprint_links(df).collect():
+            assert (np.int64(a) ^ np.int64(b)).view(np.uint64).item().bit_count() <= 4
+            old, new = label[w, a], label[w, b]
+            label = {k: new if v == old and k[0] == w else v for k, v in label.items()}
+        return {frozenset(k for k, v in label.items() if k[0] == w and v == x) for w in (0, 3) for x in set(label.values())} - {frozenset()}
+
+    one = groups()
+    assert len(one) == 6
+    monkeypatch.setattr(simhash, "HEAVY", 40)
+    monkeypatch.setattr(simhash, "COARSE", 1 << 30)
+    assert groups() == one
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(4)
     x = r.standard_normal((400, 16))

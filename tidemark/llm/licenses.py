@@ -86,3 +86,36 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         F.coalesce(F.max(F.when(is_base, F.lit(1.0)).when(ok, share)), F.lit(0.0)).alias("score"),
     )
     return found.drop("row")
+
+
+def _oracle() -> str:
+    grams, about = [], []
+    for t, (text, label) in enumerate([*PHRASES.items(), *TEMPLATES.items()]):
+        w = text.split()
+        about.append(f"({t}, '{label}', {len(w) - 1}, {t < len(PHRASES)})")
+        grams += [f"('{w[p]} {w[p + 1]}', {t}, {p})" for p in range(len(w) - 1)]
+    return rf"""
+WITH g(gram, t, tp) AS (VALUES {", ".join(grams)}),
+a(t, label, need, phrase) AS (VALUES {", ".join(about)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT r, p, w[p + 1] || ' ' || w[p + 2] AS gram FROM (SELECT *, unnest(range(len(w) - 1)) AS p FROM d)),
+v AS (SELECT r, t, p - tp AS diag, p, tp FROM b JOIN g USING (gram)),
+x AS (SELECT r, t, diag, count(*) AS votes FROM v GROUP BY r, t, diag),
+y AS (SELECT *, sum(new) OVER (PARTITION BY r, t ORDER BY diag) AS run
+      FROM (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, t ORDER BY diag) <= {GAP} THEN 0 ELSE 1 END AS new FROM x)),
+z AS (SELECT y.r, y.t, y.run, count(DISTINCT v.tp) AS seen, min(v.p) AS lo, max(v.p) AS hi FROM y JOIN v USING (r, t, diag) GROUP BY y.r, y.t, y.run),
+u AS (SELECT y.r, y.t, y.run, label, need, phrase, count(*) FILTER (votes = need) AS n_full, min(diag) FILTER (votes = need) AS first, max(diag) FILTER (votes = need) AS last
+      FROM y JOIN a USING (t) GROUP BY y.r, y.t, y.run, label, need, phrase),
+o AS (SELECT u.*, phrase AND n_full > 0 AS base, CAST(seen AS DOUBLE) / need AS share,
+             NOT phrase AND (n_full > 0 OR CAST(seen AS DOUBLE) / need >= {COVERAGE} AND hi - lo + 1 <= 2 * need) AS ok FROM u JOIN z USING (r, t, run)),
+s AS (SELECT r, sum(n_full) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR ok) AS labels,
+             max(CASE WHEN base THEN 1.0::DOUBLE WHEN ok THEN share END) AS score FROM o GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN s USING (r)
+"""
+
+
+#: The votes by whole strings, without hashes or sieves.
+ORACLE_SQL = _oracle()

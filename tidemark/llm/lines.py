@@ -115,3 +115,26 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) ->
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_repeated (lines that go), n_near (of these, for an earlier near line), text."""
     return dedup(docs.select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_repeated", "n_near", "text")
+
+
+#: Near lines by the definition: equal after a word is taken out of both at one place, or out of one of them.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS s FROM documents),
+l AS (SELECT * FROM (SELECT r, doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line FROM d) ),
+c AS (SELECT *, doc_id * 1000000 + pos AS here FROM l WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+f AS (SELECT line, min(here) AS spot, string_split(line, ' ') AS w FROM c GROUP BY line),
+w AS (SELECT *, len(w) AS n FROM f WHERE len(w) >= {MIN_WORDS}),
+v AS (SELECT line, spot, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM w)),
+near AS (
+  SELECT line FROM (SELECT line, spot, min(spot) OVER (PARTITION BY n, i, x) AS least FROM v) WHERE least < spot
+  UNION SELECT v.line FROM v JOIN w ON v.x = w.line AND w.spot < v.spot
+  UNION SELECT w.line FROM w JOIN v ON v.x = w.line AND v.spot < w.spot
+),
+j AS (SELECT c.r, c.pos, near.line IS NOT NULL AS near, near.line IS NOT NULL OR c.here <> f.spot AS lost FROM c JOIN f USING (line) LEFT JOIN near USING (line)),
+k AS (SELECT l.r, count(*) AS n_lines, count(*) FILTER (lost) AS n_repeated, count(*) FILTER (near) AS n_near,
+             string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (lost IS NULL OR NOT lost) AS text
+      FROM l LEFT JOIN j USING (r, pos) GROUP BY l.r)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_repeated, 0) AS BIGINT) AS n_repeated, CAST(coalesce(k.n_near, 0) AS BIGINT) AS n_near,
+       CASE WHEN k.n_repeated > 0 THEN coalesce(k.text, '') ELSE d.text END AS text
+FROM d LEFT JOIN k USING (r)
+"""

@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE_SQL}
+    return {"op3_line_dedup": lines.ORACLE_SQL, "op4_license_scan": licenses.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL}

@@ -29,6 +29,8 @@ SHINGLE, SEED, BITS, SMALL = 4, 42, 4, 32
 STAGE_SHINGLE, STAGE_WORDS, STAGE_LEAST = 5, 6, 0.8
 #: Rows of sorted cells that are worked on together, about.
 GATHER = 100_000
+#: Groups that cells are counted by, for each million fingerprints; rows of a group, over the mean, that are split.
+COARSE, HEAVY = 65_536, 50_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE, words: int = 1) -> list[int]:
@@ -138,40 +140,79 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """(word, a, b): links between different fingerprints of one word, enough for the components; fps has distinct word, fp."""
+    """(word, a, b): links between different fingerprints of one word, enough for the components; fps (a written table) has distinct word, fp.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Cells are counted first, by hash in groups whose mean size doesn't grow with the corpus. The fingerprints of groups
+    that hold far more than that are dealt to blocks by salt, and each block meets each other one in a task of its own;
+    so no task holds more of a cell than about two blocks, and all pairs still meet.
+    """
+    fps = fps.select("word", "fp")
+    n = fps.count()
+    buckets = np.uint64(COARSE * (1 + n // 1_000_000))
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 word, fp = (c.slice(i, 4096).to_numpy(zero_copy_only=False) for c in b.columns)
                 c, f = cells(fp.astype(np.int64), word.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(f)], names=["cell", "fp"])
+                yield c, f, (_mixed(c.view(np.uint64), 1) % buckets).view(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            names, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts, pa.int64())], names=["coarse", "n"])
+
+        for _, _, coarse in points(batches):
+            waiting.append(coarse)
+            size += len(coarse)
+            if size > 1 << 22:
+                yield done()
+                waiting, size = [], 0
+        if waiting:
+            yield done()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, f, coarse in points(batches):
+            word = (c.view(np.uint64) >> np.uint64(33)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(word), pa.array(f), pa.array(coarse)], names=["cell", "word", "fp", "coarse"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
+        parts: list[tuple[np.ndarray, ...]] = [(none, none.astype(np.int32), none)]
         waiting, enough = 0, GATHER
 
-        def done(c, f):
-            a, b, at = links_in_cells(c, f)
-            return pa.RecordBatch.from_arrays([pa.array((c[at].view(np.uint64) >> np.uint64(33)).astype(np.int32)), pa.array(a), pa.array(b)], names=["word", "a", "b"])
+        def done(cell, word, f):
+            a, b, at = links_in_cells(2 * np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]) | (word[1:] != word[:-1])])), f)
+            return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(a), pa.array(b)], names=["word", "a", "b"])
 
         for b in batches:  # sorted by cell; the last cell waits for its rest
             parts.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
             waiting += b.num_rows
             if waiting < enough:
                 continue
-            cell, fp = (np.concatenate(x) for x in zip(*parts))
+            cell, word, fp = (np.concatenate(x) for x in zip(*parts))
             cut = int(np.searchsorted(cell, cell[-1], "left"))
             if cut:
-                yield done(cell[:cut], fp[:cut])
-            parts, waiting = [(cell[cut:], fp[cut:])], len(cell) - cut
+                yield done(cell[:cut], word[:cut], fp[:cut])
+            parts, waiting = [(cell[cut:], word[cut:], fp[cut:])], len(cell) - cut
             enough = max(GATHER, 2 * waiting)  # so that a large cell is put together few times
         if waiting:
             yield done(*(np.concatenate(x) for x in zip(*parts)))
 
-    placed = fps.select("word", "fp").mapInArrow(spread, "cell long, fp long")
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(check, "word int, a long, b long").distinct()
+    mean = 66 * n // int(buckets)
+    sizes = fps.mapInArrow(count, "coarse long, n long").groupBy("coarse").agg(F.sum("n").alias("n"))
+    heavy = materialize(sizes.where(F.col("n") > HEAVY + 4 * mean).select("coarse", F.ceil(2 * F.col("n") / HEAVY).cast("int").alias("blocks")), "heavy-cells")
+    placed = fps.mapInArrow(spread, "cell long, word int, fp long, coarse long")
+    if heavy.isEmpty():
+        placed = placed.select("cell", "word", "fp")
+    else:
+        mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("cell", F.least(k, mine), F.greatest(k, mine)))
+        met = F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(met)
+        placed = placed.join(small_side(heavy), "coarse", "left").select(F.explode(met).alias("cell"), "word", "fp")
+    return placed.repartition("cell").sortWithinPartitions("cell", "word").mapInArrow(check, "word int, a long, b long").distinct()
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -212,13 +253,14 @@ def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float =
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(row).alias("first")), "distinct-fingerprints")
     if words == 1:
-        links = fingerprint_links(fps.select(F.lit(0).alias("word"), "fp")).select("a", "b")
-        used = []
+        used = [materialize(fps.select(F.lit(0).alias("word"), "fp"), "words")]
+        links = fingerprint_links(used[0]).select("a", "b")
     else:
         others = prints.select("fp", F.posexplode("more").alias("word", "f")).withColumn("word", F.col("word") + 1)
         stands = materialize(others.groupBy("word", "f").agg(F.min("fp").alias("rep"), F.max("fp").alias("far")), "other-fingerprints")
-        found = materialize(fingerprint_links(fps.select(F.lit(0).alias("word"), "fp").unionAll(stands.select("word", F.col("f").alias("fp")))), "word-links")
-        used = [stands, found]
+        every = materialize(fps.select(F.lit(0).alias("word"), "fp").unionAll(stands.select("word", F.col("f").alias("fp"))), "words")
+        found = materialize(fingerprint_links(every), "word-links")
+        used = [stands, every, found]
         rep = lambda side: stands.select("word", F.col("f").alias(side), F.col("rep").alias(f"r{side}"))
         via = small_side(found.where("word > 0")).join(rep("a"), ["word", "a"]).join(rep("b"), ["word", "b"]).select("ra", "rb")
         shared = others.join(small_side(stands.where("rep <> far").drop("far")), ["word", "f"]).select("fp", "rep").distinct()  # one f, different fp
