@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bloom
 from tidemark.sources import kv
 from tidemark.sources.frames import FrameLog
-from tidemark.streaming.changes import mirror
+from tidemark.streaming.changes import mirror, mirrored
 
 RUNS = [(b"a", b"v1-old", 0, 1), (b"b", b"v2", 0, 1), (b"c", b"v3-old", 0, 1), (b"a", b"v1-new", 0, 2), (b"c", None, 1, 2), (b"d", b"v4", 0, 2)]
 
@@ -183,6 +183,8 @@ def test_frames(spark):
 def test_stream(spark, tmp_path):
     s = kv.KVStore(spark, f"file://{tmp_path}/kv")
     for k in range(2):
-        kv.load(s, [(b"a", b"%d" % k), (b"b", None if k else b"x")])
-        mirror(spark, f"{tmp_path}/kv/log", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert plain(spark.read.parquet(f"{tmp_path}/out/v1")) == [(b"a", b"1", 0), (b"b", None, 1)]
+        kv.load(s, [(b"a", b"%d" % k), *([] if k else [(b"b", b"x"), (b"c", None)])])
+        mirror(spark, f"{tmp_path}/kv/log", f"file://{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert plain(mirrored(spark, f"file://{tmp_path}/out")) == [(b"a", b"1", 0), (b"b", b"x", 0), (b"c", None, 1)]
+    assert len(list((tmp_path / "out" / "v=000000000001").glob("bucket=*"))) == 1
+    assert mirrored(spark, f"file://{tmp_path}/none").count() == 0
