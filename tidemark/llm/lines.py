@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, discard, fresh, materialize, small_side
+from .common import BROADCAST_BYTES, ROW_BYTES, discard, fresh, materialize, small_side
 
 MIN_WORDS = 5
 _MASK = (1 << 40) - 1
@@ -38,7 +38,7 @@ def _without(words: Column, i: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, drop: array of struct(pos, near)) of the documents that lose lines."""
+    """(doc_id, text_hash, drop) of the documents that lose lines; drop has twice each line's number, plus 1 for near ones."""
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     each = each.select("*", n.cast("int").alias("n")).where(F.col("line").rlike(r"\S"))
@@ -53,11 +53,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     halved = materialize(keys.join(shared, ["kind", "k"], "left_semi").groupBy("a", "b").agg(F.max(F.col("kind") == "0").alias("pre"), F.max(F.col("kind") == "1").alias("suf")), "halved-lines")
 
     # the words of the lines that share a half, taken from the document where each occurs first
-    wanted = distinct.drop("n").join(small_side(halved), ["a", "b"]).select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"), F.struct("a", "b", "pre", "suf", "first").alias("x")).groupBy("d", "h").agg(F.collect_list("x").alias("xs"))
-    wanted = F.broadcast(wanted) if halved.count() * 250 <= BROADCAST_BYTES else wanted
+    wanted = distinct.drop("n").join(small_side(halved), ["a", "b"]).select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h"), F.struct("a", "b", "pre", "suf", F.col("first.pos").alias("pos")).alias("x"))
+    wanted = materialize(wanted.groupBy("d", "h").agg(F.collect_list("x").alias("xs")), "wanted")
+    held = wanted.agg(F.count("*") * ROW_BYTES + F.coalesce(F.sum(F.size("xs")), F.lit(0)) * 64).first()[0]
+    asked = F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    got = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["h"] == wanted["h"])).withColumn("ls", F.split("text", "\n"))
-    got = got.select(F.inline(F.transform("xs", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["pre"].alias("pre"), x["suf"].alias("suf"), x["first"].alias("first"), F.split(F.get("ls", x["first"]["pos"]), " ").alias("w")))))
+    got = texts.join(asked, texts["doc_id"].eqNullSafe(asked["d"]) & (texts["h"] == asked["h"])).select("doc_id", texts["h"].alias("th"), "xs", F.split("text", "\n").alias("ls"))
+    line = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["pre"].alias("pre"), x["suf"].alias("suf"), F.struct("doc_id", "th", x["pos"].alias("pos")).alias("first"), F.split(F.get("ls", x["pos"]), " ").alias("w"))
+    got = got.select(F.inline(F.transform("xs", line)))
     cand = got.dropDuplicates(["a", "b"]).select("*", F.size("w").alias("n"), *[_total(F.col("w"), 1 - whole, salt).alias(f"{'tf'[whole]}{salt}") for whole in (0, 1) for salt in (0, 1)])
     cand = materialize(cand, "near-lines")
 
@@ -85,8 +88,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     judged = distinct.select("a", "b", "first", "c").join(small_side(near), ["a", "b"], "left").where((F.col("c") > 1) | F.col("near")).select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("a", "b", "doc_id", "th", "pos").join(judged, ["a", "b"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
     # repeated document rows hold the same places, so a set
-    out = materialize(gone.groupBy("doc_id", F.col("th").alias("text_hash")).agg(F.collect_set(F.struct("pos", "near")).alias("drop")), "dropped-lines")
-    discard(lines, distinct, halved, cand, variants, near)
+    out = materialize(gone.groupBy("doc_id", F.col("th").alias("text_hash")).agg(F.collect_set((2 * F.col("pos") + F.col("near").cast("int")).cast("int")).alias("drop")), "dropped-lines")
+    discard(lines, distinct, halved, wanted, cand, variants, near)
     return out
 
 
@@ -97,16 +100,16 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) ->
     empty line. Repeated rows (same id and text) are one document: they lose the same lines. Other columns are left.
     """
     found = repeated_lines(docs, min_words)
-    lost = found.agg(F.count("*") * 150 + F.coalesce(F.sum(F.size("drop")), F.lit(0)) * 32).first()[0]
+    lost = found.agg(F.count("*") * ROW_BYTES + F.coalesce(F.sum(F.size("drop")), F.lit(0)) * 4).first()[0]
     d, h, lost_lines = fresh(docs, "other_id", "other_hash", "lost")
     drop = (F.broadcast(found) if lost <= BROADCAST_BYTES else found).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("drop").alias(lost_lines))
     joined = docs.join(drop, docs["doc_id"].eqNullSafe(drop[d]) & (F.xxhash64(docs["text"]) == drop[h]), "left")
     whole, gone_lines = drop[h].isNull(), drop[lost_lines]
-    ls, at = F.split(docs["text"], "\n"), F.array_sort(F.transform(gone_lines, lambda x: x["pos"]))
+    ls, at = F.split(docs["text"], "\n"), F.transform(gone_lines, lambda x: F.shiftright(x, 1))
     left = F.array_join(F.filter(ls, lambda _, i: ~F.array_contains(at, i)), "\n")
     out = {c: docs[f"`{c}`"] for c in docs.columns} | {"text": F.when(whole, docs["text"]).otherwise(left)}
     if counts:
-        near = F.size(F.filter(gone_lines, lambda x: x["near"]))
+        near = F.size(F.filter(gone_lines, lambda x: x % 2 == 1))
         gone = F.coalesce(F.size(gone_lines), F.lit(0))
         out |= {"n_lines": F.when(docs["text"].isNull(), 0).otherwise(F.size(ls)).cast("long"), "n_repeated": F.when(whole, 0).otherwise(gone).cast("long"), "n_near": F.when(whole, 0).otherwise(near).cast("long")}
     return joined.select(*[v.alias(c) for c, v in out.items()])
