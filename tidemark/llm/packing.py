@@ -26,7 +26,7 @@ from .common import materialize, small_batches
 LIMIT, END = 1024, 2
 #: Rows that are ranked together at most, about.
 RANK_ROWS = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: Rounds of equal swaps without effect after which the search ends.
 PATIENCE = 8
 
@@ -40,16 +40,24 @@ def encoder(vocabulary: str = "byte_bpe_50k"):
     apart by the ids that begin with a space. Texts with the file's special token go through the file.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    full = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    file = public_tokenizers.path(f"{vocabulary}.json")
+    with open(file) as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cache
+    def full():  # few texts need it, and it is large
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(file)
+
     begins = np.zeros(max(ranks.values()) + 1, bool)
     begins[[i for b, i in ranks.items() if b[:1] == b" "]] = True
     spaces = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
@@ -58,7 +66,7 @@ def encoder(vocabulary: str = "byte_bpe_50k"):
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.array(full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return np.array(full().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if any(s in text for s in spaces):
             return plain(text)
         first, *rest = text.split(" ")

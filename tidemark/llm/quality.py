@@ -24,7 +24,7 @@ PER_CHUNK = CHUNK // BLOCK
 #: their hashes up to this many bytes of text in all. No text is left out or cut for its own length.
 TRAIN_DOCS, TRAIN_BYTES = 3000, 24 << 20
 EPOCHS, STEPS, BATCH, RATE, SEED = 12, 500, 48, 0.004, 11  # at least so many epochs and steps
-SLAB = 2048  # chunks worked on at once: bounds memory however long a text is
+SLAB = 1024  # chunks worked on at once: bounds memory however long a text is
 FOLDS, THRESHOLD = 5, 0.3
 
 
