@@ -337,7 +337,7 @@ def test_simhash(docs):
             least[g] = min(least.get(g, i), i)
     out = Counter((x["doc_id"], x["fingerprint"], x["component_id"]) for x in simhash.digest(docs).collect())
     assert out == Counter((i, f"{f:016x}", least.get(g)) for (i, _), f, g in zip(rows, fps, group))
-    kept = simhash.keep_one(docs, 4, 1, 0.0)
+    kept = simhash.keep_one(docs, 4, 1, 0.0, 4)
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
@@ -368,6 +368,13 @@ def stage_fingerprints(text):
     return out, set(shingles)
 
 
+def met(a, b):
+    """Whether the stage compares two fingerprints: few bits differ, and in a half the 2-bit segments' counts do by at most 2 in all."""
+    count = lambda x, k: (x >> 2 * k & 3).bit_count()
+    apart = [abs(count(a, k) - count(b, k)) for k in range(32)]
+    return (a ^ b).bit_count() <= simhash.STAGE_BITS and min(sum(apart[:16]), sum(apart[16:])) <= 2
+
+
 def stage_keeps(rows):
     """Different rows (doc_id, text) that stay, by comparing all pairs of texts; ids with several texts only in groups of their own."""
     prints = {t: stage_fingerprints(t) for _, t in rows}
@@ -376,7 +383,7 @@ def stage_keeps(rows):
     for x in texts:
         for y in texts:
             (f, s), (g, u) = prints[x], prints[y]
-            alike = f[0] == g[0] or any((a ^ b).bit_count() <= 4 for a, b in zip(f, g)) and len(s & u) >= 0.8 * len(s | u)
+            alike = f[0] == g[0] or any(met(a, b) for a, b in zip(f, g)) and len(s & u) >= 0.8 * len(s | u)
             if alike and group[x] != group[y]:
                 old, new = group[x], group[y]
                 group = {t: new if k == old else k for t, k in group.items()}
@@ -409,6 +416,22 @@ def test_simhash_cells_find_every_link():
     assert len(simhash._forest(np.arange(200, dtype=np.int64))) == 199
 
 
+def test_simhash_stage_radius():
+    """Fingerprints of 5 to 10 changed bits: cells give those links that the definition has."""
+    r = np.random.default_rng(8)
+    base = [int(x) for x in r.integers(0, 2**63, 300, dtype=np.uint64)]
+    far = [x ^ sum(1 << int(k) for k in r.choice(64, 5 + i % 6, replace=False)) for i, x in enumerate(base)]
+    every = np.unique(np.array(base + far, np.uint64)).view(np.int64)
+    c, v = simhash.cells(every)
+    o = np.argsort(c, kind="stable")
+    a, b, _ = simhash.links_in_cells(c[o], v[o], simhash.STAGE_BITS)
+    got = {frozenset(p) for p in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist())}
+    whole = every.view(np.uint64).tolist()
+    assert got == {frozenset((x, y)) for i, x in enumerate(whole) for y in whole[:i] if met(x, y)} and len(got) > 50
+    both = simhash.links_in_cells(np.zeros(200, np.int64), np.arange(200, dtype=np.int64), simhash.STAGE_BITS)
+    assert len(both[0]) == 2 * 199
+
+
 def test_simhash_splits_heavy_cells(spark, monkeypatch):
     """Near fingerprints in one heavy cell: blocks find the links that one task finds, and those that all pairs have."""
     r = np.random.default_rng(5)

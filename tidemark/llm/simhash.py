@@ -8,6 +8,9 @@ vectors within distance 2 share a point, so no link is lost. Equal fingerprints
 In a cell, links are checked on the bits. Groups of up to SMALL emit their links; larger ones emit a spanning forest,
 found by breadth-first search in which a reached fingerprint is not compared again, so that dense groups cost little
 and no group emits all pairs. Cells hold different fingerprints only, so a cell doesn't grow with copies.
+
+The pipeline's stage links at up to STAGE_BITS bits, among fingerprints that share a point. So beyond 4 bits, those
+link whose vectors are within distance 2 in a half; larger cells emit the forest at 4 bits and that at STAGE_BITS.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from .components import components
 
 SHINGLE, SEED, BITS, SMALL = 4, 42, 4, 32
 #: The pipeline's stage takes five-word shingles and several fingerprints of each document: each finds a part of the
-#: copies whose shingles are 0.8 similar or more, so together they find more.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_LEAST = 5, 6, 0.8
+#: copies whose shingles are 0.8 similar or more, so together they find more. At a similarity of 0.8 about 10 of 64 bits
+#: differ; of unrelated fingerprints, one pair in 10^8 differs in so few.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_LEAST, STAGE_BITS = 5, 6, 0.8, 10
 #: Rows of sorted cells that are worked on together, about.
 GATHER = 100_000
 #: Groups that cells are counted by, for each million fingerprints; rows of a group, over the mean, that are split.
@@ -100,13 +104,13 @@ def cells(fps: np.ndarray, word: np.ndarray | int = 0) -> tuple[np.ndarray, np.n
     return np.concatenate(out_c).view(np.int64), np.concatenate(out_f)
 
 
-def _forest(f: np.ndarray) -> list[tuple[int, int]]:
+def _forest(f: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     links, rest = [], f
     while len(rest):
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             x = todo.pop()
-            hit = np.bitwise_count(rest.view(np.uint64) ^ np.int64(x).view(np.uint64)) <= BITS
+            hit = np.bitwise_count(rest.view(np.uint64) ^ np.int64(x).view(np.uint64)) <= bits
             if hit.any():
                 links += [(int(x), int(y)) for y in rest[hit]]
                 todo.extend(rest[hit])
@@ -114,7 +118,7 @@ def _forest(f: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links_in_cells(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Verified links (a, b) within equal cells of sorted input, and a place in the cell of each."""
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     sizes = np.diff(edge)
@@ -125,12 +129,12 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nda
         i = np.flatnonzero(same)
         if not len(i):
             break
-        i = i[np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + lag].view(np.uint64)) <= BITS]
+        i = i[np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + lag].view(np.uint64)) <= bits]
         a.append(fp[i])
         b.append(fp[i + lag])
         at.append(i)
     for s, n in zip(edge[:-1], sizes):
-        if n > SMALL and (big := _forest(fp[s : s + n])):
+        if n > SMALL and (big := [x for k in sorted({BITS, bits}) for x in _forest(fp[s : s + n], k)]):
             x = np.array(big, dtype=np.int64)
             a.append(x[:, 0])
             b.append(x[:, 1])
@@ -139,7 +143,7 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none, *at])
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(word, a, b): links between different fingerprints of one word, enough for the components; fps (a written table) has distinct word, fp.
 
     Cells are counted first, by hash in groups whose mean size doesn't grow with the corpus. The fingerprints of groups
@@ -184,7 +188,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         waiting, enough = 0, GATHER
 
         def done(cell, word, f):
-            a, b, at = links_in_cells(2 * np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]) | (word[1:] != word[:-1])])), f)
+            a, b, at = links_in_cells(2 * np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]) | (word[1:] != word[:-1])])), f, bits)
             return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(a), pa.array(b)], names=["word", "a", "b"])
 
         for b in batches:  # sorted by cell; the last cell waits for its rest
@@ -241,10 +245,11 @@ def similar(docs: DataFrame, links: DataFrame, fps: DataFrame, size: int, least:
     return out
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float = 0.0, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(prints, component): doc_id, th, fp of every row; and of every fp its component_id and the component's first row (struct none, doc_id, th).
 
-    Documents are linked if any of their `words` fingerprints differ in at most BITS bits. A document stands under its
+    Documents are linked if any of their `words` fingerprints differ in at most `bits` bits (beyond
+    BITS: and share a grid point). A document stands under its
     first fingerprint fp: equal ones are linked anyway. Where others link, the least fp of their documents stands for them.
     With `least`, a link between different fp counts only if its shingles are so similar; of a cell of more than SMALL
     fingerprints, the links of its forest are those compared.
@@ -254,12 +259,12 @@ def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float =
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(row).alias("first")), "distinct-fingerprints")
     if words == 1:
         used = [materialize(fps.select(F.lit(0).alias("word"), "fp"), "words")]
-        links = fingerprint_links(used[0]).select("a", "b")
+        links = fingerprint_links(used[0], bits).select("a", "b")
     else:
         others = prints.select("fp", F.posexplode("more").alias("word", "f")).withColumn("word", F.col("word") + 1)
         stands = materialize(others.groupBy("word", "f").agg(F.min("fp").alias("rep"), F.max("fp").alias("far")), "other-fingerprints")
         every = materialize(fps.select(F.lit(0).alias("word"), "fp").unionAll(stands.select("word", F.col("f").alias("fp"))), "words")
-        found = materialize(fingerprint_links(every), "word-links")
+        found = materialize(fingerprint_links(every, bits), "word-links")
         used = [stands, every, found]
         rep = lambda side: stands.select("word", F.col("f").alias(side), F.col("rep").alias(f"r{side}"))
         via = small_side(found.where("word > 0")).join(rep("a"), ["word", "a"]).join(rep("b"), ["word", "b"]).select("ra", "rb")
@@ -290,13 +295,13 @@ def digest(docs: DataFrame) -> DataFrame:
     return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, words: int = STAGE_WORDS, least: float = STAGE_LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, words: int = STAGE_WORDS, least: float = STAGE_LEAST, bits: int = STAGE_BITS) -> DataFrame:
     """One document of each group, that of the smallest id (of repeated ids, the smallest hash of text); columns as docs has them.
 
-    Links are those of `words` fingerprints of shingles of `size` words, if the shingles are `least` similar. Null ids come last; null and empty texts are
+    Links are those of `words` fingerprints of shingles of `size` words at `bits` bits, if the shingles are `least` similar. Null ids come last; null and empty texts are
     one group. Of repeated rows one stays, whichever of them. Extra columns, whatever their names, are kept.
     """
-    prints, component = groups(docs, size, words, least)
+    prints, component = groups(docs, size, words, least, bits)
     first = component.select(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).distinct().withColumn("lead", F.lit(True))
     each = prints.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
     judged = each.join(first, each["doc_id"].eqNullSafe(first["d"]) & (each["th"] == first["h"]), "left")
