@@ -432,6 +432,37 @@ def test_simhash_stage_radius():
     assert len(both[0]) == 2 * 199
 
 
+def test_simhash_stage_leaves_no_similar_pair(spark):
+    """Pairs of just 0.8, some of no near fingerprints, and a crowd in common cells: groups are those of all pairs of texts."""
+    r = random.Random(3)
+    line = lambda n: [r.choice(WORDS) + str(r.randrange(900)) for _ in range(n)]
+
+    def changed(w, places):
+        return [f"new{r.randrange(10**6)}" if k in places else x for k, x in enumerate(w)]
+
+    texts = []
+    for _ in range(80):
+        w = line(94)
+        texts += [w, changed(w, {20, 60})]  # 80 of 100 shingles shared
+    crowd = line(300)
+    for _ in range(60):
+        crowd = changed(crowd, {r.randrange(300) for _ in range(r.randrange(1, 9))})
+        texts += [crowd, changed(crowd, {r.randrange(300) for _ in range(4)})]
+    often = line(7)
+    texts += [often + line(n) for n in (1, 1, 2, 2, 30) for _ in range(8)] + [["one"] * n for n in (5, 6, 40)]
+    texts = [" ".join(w) for w in texts] + [None, "", "of few words"]
+    sets = [stage_fingerprints(t) for t in texts]
+    group = list(range(len(texts)))
+    for a, (f, s) in enumerate(sets):
+        for b, (g, u) in enumerate(sets[:a]):
+            if group[a] != group[b] and (f[0] == g[0] or len(s & u) >= 0.8 * len(s | u)):
+                group = [group[a] if x == group[b] else x for x in group]
+    first = {g: i for i, g in reversed(list(enumerate(group)))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(stage_keeps(list(enumerate(texts)))) > len(first)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(first.values())
+
+
 def test_simhash_splits_heavy_cells(spark, monkeypatch):
     """Near fingerprints in one heavy cell: blocks find the links that one task finds, and those that all pairs have."""
     r = np.random.default_rng(5)

@@ -10,7 +10,8 @@ found by breadth-first search in which a reached fingerprint is not compared aga
 and no group emits all pairs. Cells hold different fingerprints only, so a cell doesn't grow with copies.
 
 The pipeline's stage links at up to STAGE_BITS bits, among fingerprints that share a point. So beyond 4 bits, those
-link whose vectors are within distance 2 in a half; larger cells emit the forest at 4 bits and that at STAGE_BITS.
+link whose vectors are within distance 2 in a half; larger cells emit the forest at 4 bits and that at STAGE_BITS. What
+these links leave out of the pairs that are similar enough, an exact search between the groups so found adds (`missing`).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, materialize, small_batches, small_side
@@ -35,6 +36,22 @@ STAGE_SHINGLE, STAGE_WORDS, STAGE_LEAST, STAGE_BITS = 5, 6, 0.8, 10
 GATHER = 100_000
 #: Groups that cells are counted by, for each million fingerprints; rows of a group, over the mean, that are split.
 COARSE, HEAVY = 65_536, 50_000
+#: Documents that frequent shingles are counted in, at least (or one in a hundred); frequent shingles that are kept.
+SAMPLE, COMMON = 20_000, 1 << 17
+
+
+def shingle_hashes(text: bytes, size: int) -> list[int]:
+    """XXH64 of each shingle, repeats included; of fewer words than `size`, that of them all; none without words."""
+    split = text.lower().split()  # bytes: ASCII white space and letters only
+    if not split:
+        return []
+    joined = b" ".join(split)
+    if len(split) < size:
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = (np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1).tolist()
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    h = xxhash.xxh64_intdigest
+    return [h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
 
 
 def fingerprint(text: bytes, size: int = SHINGLE, words: int = 1) -> list[int]:
@@ -42,17 +59,9 @@ def fingerprint(text: bytes, size: int = SHINGLE, words: int = 1) -> list[int]:
 
     The first is of the shingles' XXH64, each other one of these hashes mixed anew, so all are of the same shingles.
     """
-    split = text.lower().split()  # bytes: ASCII white space and letters only
-    if not split:
+    hashes = shingle_hashes(text, size)
+    if not hashes:
         return [0] * words
-    joined = b" ".join(split)
-    if len(split) < size:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1).tolist()
-        starts = [0, *[e + 1 for e in ends[:-1]]]
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
     counts = np.zeros((words, 64), np.int64)
     for i in range(0, len(hashes), 1 << 13):
         part = np.array(hashes[i : i + (1 << 13)], dtype=np.uint64)
@@ -219,15 +228,16 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return placed.repartition("cell").sortWithinPartitions("cell", "word").mapInArrow(check, "word int, a long, b long").distinct()
 
 
+def _different(text: bytes, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     """texts (fp, text): fp, shingles (the different hashes, as the fingerprints take them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for t in b.column(1):
-                split = t.as_py().lower().split()
-                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(split[i : i + size]), SEED) - (1 << 63) for i in range(max(1, len(split) - size + 1))} if split else ()))
+            sets = [_different(t.as_py(), size).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     return texts.mapInArrow(run, "fp long, shingles array<long>")
@@ -245,18 +255,94 @@ def similar(docs: DataFrame, links: DataFrame, fps: DataFrame, size: int, least:
     return out
 
 
+def _row() -> Column:
+    """Orders the rows of documents: by id, nulls last, then by the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+
+
+def common_shingles(docs: DataFrame, n: int, size: int) -> np.ndarray:
+    """Hashes of shingles that three or more of a sample of the n documents hold, the most frequent last."""
+    one_in = max(1, n // max(SAMPLE, n // 100))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0)
+    sets = shingle_sets(sample.select(F.lit(0).cast("long").alias("fp"), F.coalesce("text", F.lit("")).cast("binary").alias("text")), size)
+    held = sets.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = held.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return top.column(0).to_numpy()[::-1].view(np.uint64)
+
+
+def postings(docs: DataFrame, size: int, least: float, common: np.ndarray) -> DataFrame:
+    """th, n (different shingles), shingle, place of the first shingles of every document row, in one order of all shingles: common ones last.
+
+    Of n shingles, `least` x n or more are in any set that is so similar; so two such sets share one of the first ones,
+    as many as may be missing and one more, in whichever order.
+    """
+    by = np.argsort(common)
+    values, ranks = common[by], by + 1
+    source = docs.select(F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+
+    def first(text: bytes) -> tuple[int, np.ndarray]:
+        s = _different(text, size)
+        if len(values):
+            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+            s = s[np.argsort(np.where(values[at] == s, ranks[at], 0), kind="stable")]
+        return len(s), s[: len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [first(t.as_py()) for t in b.column(1)]
+            counts = [len(s) for _, s in found]
+            th, n = np.repeat(b.column(0).to_numpy(), counts), np.repeat(np.array([n for n, _ in found], np.int32), counts)
+            shingle = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in found)]).view(np.int64)
+            place = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in counts)])
+            yield pa.RecordBatch.from_arrays([pa.array(th), pa.array(n), pa.array(shingle), pa.array(place)], names=["th", "n", "shingle", "place"])
+
+    return source.mapInArrow(run, "th long, n int, shingle long, place int")
+
+
+def missing(docs: DataFrame, prints: DataFrame, label: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b): fingerprints of all pairs of texts that are `least` similar and of different components (label: node, label).
+
+    Pairs meet by a shingle among the first ones of both; they are compared unless their numbers of shingles, or the
+    shingles after the shared one, are too few. The sample of frequent shingles sets the order alone, so it changes no
+    result. Shingles of one text or one component are dropped before the join, so groups of copies cost little.
+    """
+    every = materialize(postings(docs, size, least, common_shingles(docs, prints.count(), size)), "postings")
+
+    def met(rows: DataFrame, by: str) -> DataFrame:
+        ends = rows.groupBy("shingle").agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+        return materialize(ends.where("lo <> hi").select("shingle"), "shared-shingles")
+
+    many = met(every, "th")
+    texts = prints.select("th", "fp").distinct()
+    linked = materialize(texts.join(small_side(label), texts["fp"] == label["node"]).select("th", "label"), "linked-texts")
+    held = every.join(small_side(many), "shingle").distinct().join(small_side(linked), "th", "left")
+    held = materialize(held.select("shingle", "th", "n", "place", F.coalesce("label", "th").alias("of")), "held-postings")
+    apart = met(held, "of")
+    left = held.join(small_side(apart), "shingle")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("th", "n", "place", "of")])
+    rest = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    near = (F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-6) & (rest >= least / (1 + least) * (F.col("n") + F.col("n_b")) - 1e-6)
+    pairs = left.join(right, "shingle").where((F.col("of") < F.col("of_b")) & near).select(F.col("th").alias("a"), F.col("th_b").alias("b")).distinct()
+    pairs = materialize(pairs, "near-texts")
+    firsts = prints.groupBy("th").agg(F.min(_row()).alias("first")).withColumnRenamed("th", "fp")
+    found = similar(docs, pairs, firsts, size, least)
+    end = lambda side: texts.select(F.col("th").alias(side), F.col("fp").alias(f"f{side}"))
+    out = materialize(small_side(found).join(end("a"), "a").join(end("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")).where("a <> b").distinct(), "missing-links")
+    discard(every, many, linked, held, apart, pairs, found)
+    return out
+
+
 def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float = 0.0, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(prints, component): doc_id, th, fp of every row; and of every fp its component_id and the component's first row (struct none, doc_id, th).
 
     Documents are linked if any of their `words` fingerprints differ in at most `bits` bits (beyond
     BITS: and share a grid point). A document stands under its
     first fingerprint fp: equal ones are linked anyway. Where others link, the least fp of their documents stands for them.
-    With `least`, a link between different fp counts only if its shingles are so similar; of a cell of more than SMALL
-    fingerprints, the links of its forest are those compared.
+    With `least`, a link between different fp counts only if its shingles are so similar; the links of a cell of more
+    than SMALL fingerprints are its forest's. All other pairs of texts that are so similar are linked as well (`missing`).
     """
     prints = materialize(fingerprints(docs, size, words), "fingerprints")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(row).alias("first")), "distinct-fingerprints")
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(_row()).alias("first")), "distinct-fingerprints")
     if words == 1:
         used = [materialize(fps.select(F.lit(0).alias("word"), "fp"), "words")]
         links = fingerprint_links(used[0], bits).select("a", "b")
@@ -275,6 +361,14 @@ def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float =
         used.append(links)
         links = similar(docs, links, fps, size, least)
     label = components(links)
+    if least:
+        more = missing(docs, prints, label, size, least)
+        used.append(more)
+        if not more.isEmpty():
+            used.append(links)
+            links = materialize(links.unionAll(more), "all-links")
+            discard(label)
+            label = components(links)
     mine = label.join(fps, label["node"] == fps["fp"])
     best = mine.groupBy("label").agg(F.min("least").alias("least"), F.min("first").alias("first"))
     linked = mine.select("fp", "label").join(best, "label").select("fp", "least", "first")
