@@ -324,11 +324,12 @@ def missing(docs: DataFrame, prints: DataFrame, label: DataFrame, size: int, lea
     near = (F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-6) & (rest >= least / (1 + least) * (F.col("n") + F.col("n_b")) - 1e-6)
     pairs = left.join(right, "shingle").where((F.col("of") < F.col("of_b")) & near).select(F.col("th").alias("a"), F.col("th_b").alias("b")).distinct()
     pairs = materialize(pairs, "near-texts")
+    discard(every, many, linked, held, apart)
     firsts = prints.groupBy("th").agg(F.min(_row()).alias("first")).withColumnRenamed("th", "fp")
     found = similar(docs, pairs, firsts, size, least)
     end = lambda side: texts.select(F.col("th").alias(side), F.col("fp").alias(f"f{side}"))
     out = materialize(small_side(found).join(end("a"), "a").join(end("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")).where("a <> b").distinct(), "missing-links")
-    discard(every, many, linked, held, apart, pairs, found)
+    discard(pairs, found)
     return out
 
 
