@@ -113,6 +113,19 @@ def test_rollover_closes_files_by_size(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_small_files_have_small_bloom_filters(spark, tmp_path):
+    rows = [(bytearray(b"%016d" % (i * 7919)), bytearray(b"v" * 60), 0) for i in range(60)]
+    kv.write_run(spark.createDataFrame(rows, kv.RUN), f"{tmp_path}/run", 1000)
+    sizes = [p.stat().st_size for p in (tmp_path / "run").rglob("*.parquet")]
+    assert len(sizes) >= 4 and max(sizes) < 10_000
+    from pyarrow.parquet import ParquetFile  # the filters are there: data pages and footer alone take less
+
+    part = next((tmp_path / "run").rglob("*.parquet"))
+    meta = ParquetFile(part).metadata
+    assert part.stat().st_size - meta.serialized_size - sum(meta.row_group(0).column(c).total_compressed_size for c in range(3)) > 250
+    assert kv.read_run(spark, f"{tmp_path}/run").count() == 60
+
+
 def test_bloom(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").cast("binary").alias("key"))
     added, shape = keys.where("CAST(CAST(key AS STRING) AS INT) % 2 = 0"), bloom.Shape.of(10_000)

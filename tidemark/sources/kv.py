@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bloom
-from ..operators.keyed import DELETE, PUT, compact, entry_bytes, latest, live, rollover
+from ..operators.keyed import DELETE, ENTRY, PUT, compact, entry_bytes, latest, live, rollover
 from .files import Store
 from .frames import MAX_FRAME, MAX_KEY, SEGMENT_BYTES, check_key, pack_frame, unpack_frames
 
@@ -42,9 +42,13 @@ class RunCorrupt(RuntimeError):
 
 
 def write_run(df: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """A sorted run: files of consecutive key ranges, sorted inside, closed at file_bytes, with Parquet's Bloom filters on the key."""
+    """A sorted run: files of consecutive key ranges, sorted inside, closed at file_bytes, with Parquet's Bloom filters on the key.
+
+    Filters are made for as many keys as a file can hold; without a number each takes Parquet's largest, 1 MB.
+    """
     ranges = df.repartitionByRange("key").sortWithinPartitions("key")
-    rollover(ranges, file_bytes).write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("file").parquet(path)
+    out = rollover(ranges, file_bytes).write.option("parquet.bloom.filter.enabled#key", "true")
+    out.option("parquet.bloom.filter.expected.ndv#key", str(1 + file_bytes // (ENTRY + 1))).partitionBy("file").parquet(path)
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
