@@ -768,3 +768,28 @@ def test_pipeline(spark):
         assert f(spark, docs, d).columns == docs.columns
     out = p.run(spark, d).toPandas()
     assert len(out) and out.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+def test_links_of_a_dense_group_are_compared_in_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join([*(f"w{i}" for i in range(60)), f"x{k}"]) for k in range(16)] + [" ".join(f"y{k}{i}" for i in range(60)) for k in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    firsts = docs.select(F.col("doc_id").alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("th")).alias("first"))
+    pairs = [(a, b, a, b) for b in range(18) for a in range(b)]
+    links = simhash.materialize(spark.createDataFrame(pairs, "a long, b long, la long, lb long"), "pairs")
+    compared, written = [], simhash.materialize
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "taken-links":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    found = [(r["a"], r["b"]) for r in simhash.similar(docs, links, firsts, 5, 0.8).collect()]
+    group = {0}
+    for _ in found:
+        group |= {x for link in found if group & set(link) for x in link}
+    assert group == set(range(16)) and all(a < 16 and b < 16 for a, b in found)
+    assert compared and max(compared) <= 18 < len(pairs)  # no round moves more sets than there are ends

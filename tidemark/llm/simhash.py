@@ -36,6 +36,8 @@ STAGE_SHINGLE, STAGE_WORDS, STAGE_LEAST, STAGE_BITS = 5, 6, 0.8, 10
 GATHER = 100_000
 #: Groups that cells are counted by, for each million fingerprints; rows of a group, over the mean, that are split.
 COARSE, HEAVY = 65_536, 50_000
+#: Rounds in which links of fingerprints are compared; the exact search finds what they leave.
+ROUNDS = 5
 #: Documents that frequent shingles are counted in, at least (or one in a hundred); frequent shingles that are kept.
 SAMPLE, COMMON = 20_000, 1 << 17
 
@@ -243,15 +245,48 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "fp long, shingles array<long>")
 
 
-def similar(docs: DataFrame, links: DataFrame, fps: DataFrame, size: int, least: float) -> DataFrame:
-    """The links (a, b) of which the first documents of both fingerprints have a Jaccard similarity of shingles of `least` or more."""
-    ends = materialize(links.select("a").unionAll(links.select("b")).toDF("fp").distinct().join(fps, "fp").select("fp", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")), "link-ends")
+def similar(docs: DataFrame, links: DataFrame, firsts: DataFrame, size: int, least: float, most: int | None = None) -> DataFrame:
+    """Links (a, b) of which the first documents of both ends have a Jaccard similarity of shingles of `least` or more: enough for the components.
+
+    links (a written table): a, b and la, lb, the groups that the ends are in so far. Many links are compared in rounds:
+    each end takes some of its links, and links within a group that the rounds before made are not compared. So a round
+    moves about as many bytes of sets as the ends' own, or half the texts', however many links a dense group has. With
+    `most`, links are left over after so many rounds.
+    """
+    ends = materialize(links.select("a").unionAll(links.select("b")).toDF("fp").distinct().join(firsts, "fp").select("fp", F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")), "link-ends")
     texts = docs.select("doc_id", "text").join(small_side(ends), docs["doc_id"].eqNullSafe(ends["d"]) & (F.xxhash64(docs["text"]) == ends["h"]))
     sets = materialize(shingle_sets(texts.select("fp", F.coalesce("text", F.lit("")).cast("binary").alias("text")), size).dropDuplicates(["fp"]), "shingle-sets")
-    both = links.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    n, held = sets.agg(F.count("*"), F.sum(8 * F.size("shingles").cast("long"))).first()
+    room = max(n, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) * n // (2 * (held or 1)))  # links of a round
+    left, found, step = links, [], 0
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    out = materialize(both.where(shared >= least * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "similar-links")
-    discard(ends, sets)
+    alike = shared >= least * (F.size("of_a") + F.size("of_b") - shared)
+    while (count := left.count()) and (most is None or step < most):
+        step += 1
+        taken = left
+        if count > room:
+            both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lb").alias("la"), F.col("la").alias("lb")))
+            slots = max(1, room // both.select("a").distinct().count())
+            pick = F.min_by(F.struct("b", "la", "lb"), F.xxhash64("a", "b", F.lit(step)))
+            taken = materialize(both.groupBy("a", F.pmod(F.xxhash64("a", "b"), F.lit(slots)).alias("slot")).agg(pick.alias("x")).select("a", "x.b", "x.la", "x.lb"), "taken-links")
+        pairs = taken.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+        good = materialize(pairs.where(alike).select("a", "b", "la", "lb"), "similar-links")
+        found.append(good)
+        if taken is left:
+            break
+        label = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        done = taken.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+        rest = left.join(done, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+        for end in ("la", "lb"):
+            rest = rest.join(small_side(label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_new"))), end, "left").withColumn(end, F.coalesce(f"{end}_new", end))
+        rest = materialize(rest.where("la <> lb").select("a", "b", "la", "lb"), "links-left")
+        discard(label, taken, *([] if left is links else [left]))
+        left = rest
+    every = found[0] if found else links.limit(0)
+    for more in found[1:]:
+        every = every.unionAll(more)
+    out = materialize(every.select("a", "b"), "similar-links")
+    discard(ends, sets, *found, *([] if left is links else [left]))
     return out
 
 
@@ -300,7 +335,7 @@ def postings(docs: DataFrame, size: int, least: float, common: np.ndarray) -> Da
 
 
 def missing(docs: DataFrame, prints: DataFrame, label: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b): fingerprints of all pairs of texts that are `least` similar and of different components (label: node, label).
+    """(a, b): fingerprints of pairs of texts that are `least` similar and of different components (label: node, label), enough to join all such pairs.
 
     Pairs meet by a shingle among the first ones of both; they are compared unless their numbers of shingles, or the
     shingles after the shared one, are too few. The sample of frequent shingles sets the order alone, so it changes no
@@ -322,7 +357,7 @@ def missing(docs: DataFrame, prints: DataFrame, label: DataFrame, size: int, lea
     right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("th", "n", "place", "of")])
     rest = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
     near = (F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-6) & (rest >= least / (1 + least) * (F.col("n") + F.col("n_b")) - 1e-6)
-    pairs = left.join(right, "shingle").where((F.col("of") < F.col("of_b")) & near).select(F.col("th").alias("a"), F.col("th_b").alias("b")).distinct()
+    pairs = left.join(right, "shingle").where((F.col("of") < F.col("of_b")) & near).select(F.col("th").alias("a"), F.col("th_b").alias("b"), F.col("of").alias("la"), F.col("of_b").alias("lb")).distinct()
     pairs = materialize(pairs, "near-texts")
     discard(every, many, linked, held, apart)
     firsts = prints.groupBy("th").agg(F.min(_row()).alias("first")).withColumnRenamed("th", "fp")
@@ -340,7 +375,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float =
     BITS: and share a grid point). A document stands under its
     first fingerprint fp: equal ones are linked anyway. Where others link, the least fp of their documents stands for them.
     With `least`, a link between different fp counts only if its shingles are so similar; the links of a cell of more
-    than SMALL fingerprints are its forest's. All other pairs of texts that are so similar are linked as well (`missing`).
+    than SMALL fingerprints are its forest's, and ROUNDS rounds of links are compared. All other pairs of texts that are
+    so similar are linked as well, if these links don't join them (`missing`).
     """
     prints = materialize(fingerprints(docs, size, words), "fingerprints")
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(_row()).alias("first")), "distinct-fingerprints")
@@ -360,7 +396,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, words: int = 1, least: float =
     links = materialize(links.where("a <> b").distinct(), "fingerprint-links")
     if least:
         used.append(links)
-        links = similar(docs, links, fps, size, least)
+        links = similar(docs, links.withColumns({"la": F.col("a"), "lb": F.col("b")}), fps, size, least, ROUNDS)
     label = components(links)
     if least:
         more = missing(docs, prints, label, size, least)
